@@ -180,6 +180,7 @@ class Lookup:
         self.buckets = {b: blobs.unpacked(view, (np.uint64, np.uint32, np.uint32, np.uint32)) for b, _, view in blobs.opened(names)}
 
     def learn(self, words: set[str], bits: int) -> None:
+        """Looks the new ones among the words up, all at once."""
         known = self.known
         new = list(words.difference(known))
         if len(known) + len(new) > MEMORY:
@@ -189,6 +190,7 @@ class Lookup:
             return
         raw = [w.encode() for w in new]
         h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in raw), np.uint64, len(raw))
+        crc = np.fromiter(map(crc32, raw), np.uint32, len(raw))
         order = np.argsort(h)
         where = (h[order] >> np.uint64(64 - bits)).astype(np.int64)
         lone = []
@@ -196,13 +198,16 @@ class Lookup:
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(where)], strict=True):
             own, table = order[a:b], self.buckets.get(int(where[a]))
             if table is None:
-                lone += [new[k] for k in own]
+                lone += [new[k] for k in own.tolist()]
                 continue
             keys, check, start, ids = table
             low, high = np.searchsorted(keys, h[own]), np.searchsorted(keys, h[own], side="right")
-            for k, i, j in zip(own.tolist(), low.tolist(), high.tolist(), strict=True):
-                if j == i + 1 and check[i] == crc32(raw[k]):
-                    known[new[k]] = ids[start[i] : start[i + 1]].tobytes()
+            at = np.minimum(low, len(keys) - 1)
+            good = (high == low + 1) & (check[at] == crc[own])
+            view = memoryview(ids).cast("B")
+            for k, i, j, ok in zip(own.tolist(), (4 * start[at].astype(np.int64)).tolist(), (4 * start[at + 1].astype(np.int64)).tolist(), good.tolist(), strict=True):
+                if ok:
+                    known[new[k]] = bytes(view[i:j])
                 else:
                     lone.append(new[k])
         for w, ids in zip(lone, self.codec.encode_words(lone), strict=True):
@@ -219,17 +224,10 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         lookup = Lookup(names, Codec(path))
         codec = lookup.codec
         for batch in batches:
-            out = []
-            for text in blobs.texts_of(batch.column(1)):
-                ids = []
-                for part, special in codec.segments(text):
-                    if special is not None:
-                        ids.append(np.uint32(special).tobytes())
-                        continue
-                    words = codec.words(part)
-                    lookup.learn(set(words), bits)
-                    ids += map(lookup.known.__getitem__, words)
-                out.append(b"".join(ids))
+            split = [[special if special is not None else codec.words(part) for part, special in codec.segments(text)] for text in blobs.texts_of(batch.column(1))]
+            lookup.learn({w for segments in split for words in segments if isinstance(words, list) for w in words}, bits)
+            known = lookup.known.__getitem__
+            out = [b"".join(b"".join(map(known, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments) for segments in split]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
