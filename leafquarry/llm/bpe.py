@@ -31,7 +31,9 @@ from leafquarry.llm import blobs
 from leafquarry.llm.common import bound_batches, parts, pick
 
 #: Words a worker holds before it passes them on or starts afresh.
-MEMORY = 300_000
+MEMORY = 200_000
+#: Characters whose words are held at once.
+SLICE = 1_000_000
 SEED = 7
 
 # The pre-token pattern of the byte-level tokenizer, with white space spelled as the Unicode property.
@@ -224,10 +226,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         lookup = Lookup(names, Codec(path))
         codec = lookup.codec
         for batch in batches:
-            split = [[special if special is not None else codec.words(part) for part, special in codec.segments(text)] for text in blobs.texts_of(batch.column(1))]
-            lookup.learn({w for segments in split for words in segments if isinstance(words, list) for w in words}, bits)
-            known = lookup.known.__getitem__
-            out = [b"".join(b"".join(map(known, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments) for segments in split]
+            texts, out, at = blobs.texts_of(batch.column(1)), [], 0
+            while at < len(texts):  # in slices, as lists of words take many times their text
+                upto, n = at, 0
+                while upto < len(texts) and n < SLICE:
+                    n += len(texts[upto])
+                    upto += 1
+                split = [[special if special is not None else codec.words(part) for part, special in codec.segments(text)] for text in texts[at:upto]]
+                lookup.learn({w for segments in split for words in segments if isinstance(words, list) for w in words}, bits)
+                known = lookup.known.__getitem__
+                out += [b"".join(b"".join(map(known, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments) for segments in split]
+                at = upto
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
