@@ -136,3 +136,47 @@ def test_shingles():
     assert simhash.fingerprint(b"") == [0]
     assert simhash.fingerprint("Éa B c".encode()) == simhash.fingerprint("Éa b C".encode())
     assert len(simhash.shingle_hashes(b"a b c d", 3)) == 2
+
+
+def jaccard_kept(texts, least=0.8):
+    """Brute force: of each component of texts with that five-word Jaccard similarity the first."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return [i for i, r in enumerate(root) if r == i]
+
+
+@pytest.mark.parametrize("tile", [16, 8192])
+def test_keep_one_is_exact(spark, monkeypatch, tile):
+    """Repeated lines do not link texts; pairs on both sides of the limit fall on their side."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(3)
+    fresh = iter(range(10**6))
+
+    def words(n):
+        return [f"w{next(fresh)}" for _ in range(n)]
+
+    line = words(10)
+    texts = []
+    for _ in range(6):  # one line twenty times among 220 words of its own
+        own = words(220)
+        texts.append(sum((own[11 * k : 11 * k + 11] + line for k in range(20)), []))
+    for tail in (4, 10, 20, 24, 25, 26, 30, 40, 60):  # 100 shingles against 100 + tail: at the limit where tail is 25
+        base = words(104)
+        texts += [base, base + words(tail)]
+    hub = words(204)  # a dense group and a chain that leaves it step by step
+    for k in range(20):
+        at = int(rng.integers(0, 200))
+        texts.append(hub[:at] + words(1) + hub[at + 1 :])
+    for k in range(0, 100, 15):
+        texts.append(hub[k:] + words(k))
+    texts = [" ".join(t) for t in texts]
+    kept = simhash.keep_one(table(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in kept.collect()) == jaccard_kept(texts)
