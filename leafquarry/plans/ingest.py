@@ -44,7 +44,7 @@ q("k01_reject_reasons", BATCH + " SELECT motivo, count(*) AS cnt FROM r GROUP BY
 q("k01_upsert", UPSERT)(lambda t: ingest.upserted(base(t), batch(t)).select("hash_md5", "tipo", "numero", "anio"))
 q("k02_article_index", "SELECT id AS doc_id, CASE id % 3 WHEN 0 THEN 'LIR' WHEN 1 THEN 'LIVS' ELSE 'CT' END AS ley, CAST(id % 120 + 1 AS VARCHAR) AS articulo FROM docs UNION ALL SELECT id, 'FT', NULL FROM docs")(
     lambda t: index_rows(
-        t.docs.select("id", F.regexp_substr("contenido", F.lit("^[^.]*")).alias("x")).select("id", references(c("x")).alias("refs"), F.array(F.lit("FT"), F.element_at(F.array(F.lit("LIR"), F.lit("LIVS"), F.lit("CT")), (c("id") % 3 + 1).cast("int"))).alias("leyes")), "id", "leyes", "refs"
+        t.docs.select("id", references(c("contenido")).alias("refs"), F.array(F.lit("FT"), F.element_at(F.array(F.lit("LIR"), F.lit("LIVS"), F.lit("CT")), (c("id") % 3 + 1).cast("int"))).alias("leyes")), "id", "leyes", "refs"
     )
 )
 q("k04_last_write", "SELECT blob, max(id) AS doc_id FROM (SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, id FROM docs) GROUP BY blob")(

@@ -98,7 +98,7 @@ q("k14_manual", "SELECT id, coalesce(nullif(CASE WHEN id % 2 = 0 THEN referencia
 )
 q("k25_folders", "SELECT id, 'pdfs/' || tipo || '/' || CAST(anio AS VARCHAR) AS folder FROM docs WHERE anio IS NOT NULL")(lambda t: t.docs.filter("anio IS NOT NULL").select("id", records.file_folder(F.concat_ws("_", "tipo", c("anio").cast("string"), F.concat("numero", F.lit(".pdf")))).alias("folder")))
 q("k26_quarantine", "SELECT id FROM docs WHERE pdf_local LIKE 'pdfs/1%'")(lambda t: t.docs.filter(c("pdf_local").startswith("pdfs/1")).select("id"))
-q("k28_reindexed", "SELECT count(*) AS n FROM docs WHERE trim(coalesce(contenido, '')) <> ''")(lambda t: ingest.reindexed(t.docs.withColumn("contenido", F.regexp_substr("contenido", F.lit("^[^.]*")))).filter(F.size("refs") == 1).agg(F.count(F.lit(1)).alias("n")))
+q("k28_reindexed", "SELECT count(*) AS n FROM docs WHERE trim(coalesce(contenido, '')) <> ''")(lambda t: ingest.reindexed(t.docs).filter(F.size("refs") == 1).agg(F.count(F.lit(1)).alias("n")))
 q("k30_tables", "SELECT CAST(0 AS BIGINT) AS n")(lambda t: src.empty_tables(t.spark, {"casos": "id bigint, nombre string"})["casos"].agg(F.count(F.lit(1)).alias("n")))
 q("w03_item_states", """SELECT id, CASE WHEN id % 10 = 0 THEN 'no_encontrado' WHEN id % 3 = 0 AND n < 250 THEN 'ocr_pendiente' WHEN id % 3 > 0 AND id % 2 = 0 AND n < 120 THEN 'doc_pendiente' WHEN n < 120 THEN 'procesamiento_fallido'
    WHEN id % 13 = 0 THEN 'error_bd' WHEN id % 3 = 0 THEN 'ok_scan_' || f ELSE 'ok_' || f END AS estado FROM (SELECT id, length(contenido) - 60 AS n, CASE WHEN id % 2 = 0 THEN 'doc' ELSE 'html' END AS f FROM docs)""")(
