@@ -42,6 +42,26 @@ UPSERT = BATCH + """, named AS (SELECT *, row_number() OVER (PARTITION BY tipo,
  UNION ALL SELECT hash_md5, tipo, numero, anio FROM changed UNION ALL SELECT hash_md5, tipo, numero, anio FROM fresh1 WHERE n = 1"""
 q("k01_reject_reasons", BATCH + " SELECT motivo, count(*) AS cnt FROM r GROUP BY motivo")(lambda t: batch(t).groupBy(ingest.reject_reason().alias("motivo")).agg(F.count(F.lit(1)).alias("cnt")))
 q("k01_upsert", UPSERT)(lambda t: ingest.upserted(base(t), batch(t)).select("hash_md5", "tipo", "numero", "anio"))
+
+
+def whole_base(t: Tables):
+    """Two thirds of the documents; with whole_batch every document, a third of them on both sides."""
+    return t.docs.filter("id % 3 < 2").select("id", "hash_md5", "tipo", "numero", "anio", "contenido", "pdf_local", "paginas", "fuente")
+
+
+def whole_batch(t: Tables):
+    return t.docs.filter("id % 3 > 0").select(
+        "hash_md5", "tipo", (c("numero").cast("int") % 100).cast("string").alias("numero"), "anio", F.when(c("id") % 13 > 0, c("contenido")).alias("contenido"), "pdf_local", "paginas", "fuente", c("id").alias("seq")
+    )
+
+
+def whole(body: str) -> str:
+    """The same statement over sides that grow with the table."""
+    return body.replace("id BETWEEN 300 AND 699", "id % 3 > 0").replace("id < 400", "id % 3 < 2")
+
+
+q("k01_reject_reasons_whole", whole(BATCH) + " SELECT motivo, count(*) AS cnt FROM r GROUP BY motivo")(lambda t: whole_batch(t).groupBy(ingest.reject_reason().alias("motivo")).agg(F.count(F.lit(1)).alias("cnt")))
+q("k01_upsert_whole", whole(UPSERT))(lambda t: ingest.upserted(whole_base(t), whole_batch(t)).select("hash_md5", "tipo", "numero", "anio"))
 q("k02_article_index", "SELECT id AS doc_id, CASE id % 3 WHEN 0 THEN 'LIR' WHEN 1 THEN 'LIVS' ELSE 'CT' END AS ley, CAST(id % 120 + 1 AS VARCHAR) AS articulo FROM docs UNION ALL SELECT id, 'FT', NULL FROM docs")(
     lambda t: index_rows(
         t.docs.select("id", references(c("contenido")).alias("refs"), F.array(F.lit("FT"), F.element_at(F.array(F.lit("LIR"), F.lit("LIVS"), F.lit("CT")), (c("id") % 3 + 1).cast("int"))).alias("leyes")), "id", "leyes", "refs"
