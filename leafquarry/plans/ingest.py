@@ -102,6 +102,11 @@ q("w02_outcomes", """, k AS (SELECT * FROM docs WHERE id < 500), b AS (SELECT *
      WHEN hash_md5 IN (SELECT hash_md5 FROM k) THEN 'hash' WHEN id <> min(id) OVER (PARTITION BY hash_md5) THEN 'repetido' ELSE 'nuevo' END AS outcome FROM b""")(
     lambda t: classify_new(t.docs.filter("id >= 300").withColumn("seq", c("id")), t.docs.filter("id < 500")).select("id", "outcome")
 )
+q("w02_outcomes_whole", """, k AS (SELECT * FROM docs WHERE id % 3 < 2), b AS (SELECT * FROM docs WHERE id % 3 > 0)
+   SELECT id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.tipo = b.tipo AND k.numero = b.numero AND k.anio = b.anio) THEN 'identidad' WHEN url_sii IN (SELECT url_sii FROM k) THEN 'url'
+     WHEN hash_md5 IN (SELECT hash_md5 FROM k) THEN 'hash' WHEN id <> min(id) OVER (PARTITION BY hash_md5) THEN 'repetido' ELSE 'nuevo' END AS outcome FROM b""")(
+    lambda t: classify_new(t.docs.filter("id % 3 > 0").withColumn("seq", c("id")), t.docs.filter("id % 3 < 2")).select("id", "outcome")
+)
 q("w05_messages", "SELECT event_id AS seq, CASE WHEN estado = 'error_bd' THEN 'WARN' ELSE 'OK' END AS level FROM scraper_log ORDER BY event_id DESC LIMIT 300")(
     lambda t: latest_progress(t.scraper_log.select(c("event_id").alias("seq"), c("estado").alias("message"))).select("seq", "level")
 )
@@ -135,7 +140,7 @@ def parity(t: Tables):
 
 q("a19_parity_histogram")(lambda t: audit.histogram(parity(t)))
 q("j18_auxiliary", "SELECT id, anio IS NOT NULL AND CAST(numero AS INT) % 4 = 0 AS html FROM docs")(
-    lambda t: audit.auxiliary(t.docs.withColumn("titulo", F.lit("")), t.docs.filter("anio IS NOT NULL AND cast(numero as int) % 4 = 0").select(F.concat(c("anio").cast("string"), F.lit("_circu"), F.lpad("numero", 3, "0"), F.lit("_limpio")).alias("stem")), "html").select("id", "html")
+    lambda t: audit.auxiliary(t.docs, t.docs.filter("anio IS NOT NULL AND cast(numero as int) % 4 = 0").select(F.concat(c("anio").cast("string"), F.lit("_circu"), F.lpad("numero", 3, "0"), F.lit("_limpio")).alias("stem")), "html").select("id", "html")
 )
 q("j19_orphans", "SELECT 'x/' || CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 3 > 0")(
     lambda t: audit.orphans(t.docs.select(F.concat(F.lit("x/"), c("id").cast("string")).alias("path")), t.docs.filter("id % 3 = 0").select(F.struct(F.concat(F.lit("x/"), c("id").cast("string")).alias("path")).alias("file"))).select("path")

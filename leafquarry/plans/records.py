@@ -96,6 +96,11 @@ q("k14_manual", "SELECT id, coalesce(nullif(CASE WHEN id % 2 = 0 THEN referencia
         lambda m: t.docs.filter("id % 5 = 0").withColumn("cuerpo", c("contenido")).select("id", m["referencia"].alias("referencia"), m["paginas"].alias("paginas"), F.array_join(m["leyes"], ",").alias("leyes"))
     )(records.manual_record({"titulo": c("titulo"), "contenido": c("contenido"), "referencia": F.when(c("id") % 2 == 0, c("referencia")), "leyes": F.when(c("id") % 2 == 0, '["lir","ct"]').otherwise('["FT"]')}))
 )
+q("k14_manual_whole", "SELECT id, coalesce(nullif(CASE WHEN id % 2 = 0 THEN referencia END, ''), 'Manual - ' || titulo) AS referencia, CAST(greatest(1, ceil(length(contenido) / 2800)) AS INT) AS paginas, CASE WHEN id % 2 = 0 THEN 'CT,LIR' ELSE 'FT' END AS leyes FROM docs")(
+    lambda t: (
+        lambda m: t.docs.select("id", m["referencia"].alias("referencia"), m["paginas"].alias("paginas"), F.array_join(m["leyes"], ",").alias("leyes"))
+    )(records.manual_record({"titulo": c("titulo"), "contenido": c("contenido"), "referencia": F.when(c("id") % 2 == 0, c("referencia")), "leyes": F.when(c("id") % 2 == 0, '["lir","ct"]').otherwise('["FT"]')}))
+)
 q("k25_folders", "SELECT id, 'pdfs/' || tipo || '/' || CAST(anio AS VARCHAR) AS folder FROM docs WHERE anio IS NOT NULL")(lambda t: t.docs.filter("anio IS NOT NULL").select("id", records.file_folder(F.concat_ws("_", "tipo", c("anio").cast("string"), F.concat("numero", F.lit(".pdf")))).alias("folder")))
 q("k26_quarantine", "SELECT id FROM docs WHERE pdf_local LIKE 'pdfs/1%'")(lambda t: t.docs.filter(c("pdf_local").startswith("pdfs/1")).select("id"))
 q("k28_reindexed", "SELECT count(*) AS n FROM docs WHERE trim(coalesce(contenido, '')) <> ''")(lambda t: ingest.reindexed(t.docs).filter(F.size("refs") == 1).agg(F.count(F.lit(1)).alias("n")))
