@@ -1,4 +1,7 @@
-"""Helpers that the text operators share."""
+"""Helpers that the text operators share.
+
+Ids are integers: a doc_id of another type is cast to bigint, and one that isn't a number raises Spark's cast error.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch may hold, so that a Python worker's memory doesn't depend on text lengths.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: A key is hot from this share of all rows on, so at most 1 / HOT_SHARE keys are; and from so many rows on.
+HOT_SHARE, HOT_ROWS = 1 / 2000, 100
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -30,9 +35,12 @@ def _own_folder() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and
+    everything runs on this machine (tests). On a cluster without the setting it raises ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + _own_folder()
     return root.rstrip("/")
 
@@ -49,9 +57,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Limits Arrow batches by bytes; called by every operator that runs Python over whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with table, which has one row for each combination of keys (never null) and in ``weight`` how many of
+    rows have it. Both must be written ones, as they are read twice. What is hot (see HOT_SHARE: a few thousand rows at
+    most, whatever the size) is broadcast; the rest meets by a join on the keys in which no key is large."""
+    least = max(HOT_ROWS, int((table.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE))
+    hot = F.broadcast(table.where(F.col(weight) >= least))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) < least), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def parts(spark: SparkSession) -> int:
