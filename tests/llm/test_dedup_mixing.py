@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 
 import numpy as np
@@ -38,6 +39,47 @@ def test_exact_keep_first(spark, index):
     assert [r.doc_id for r in later.collect()] == [9]
 
 
+def test_exact_index_reopened(spark):
+    """Another session with other settings and an empty catalog finds every known text again."""
+    path = new_folder(spark, "index")
+    known = table(spark, [(i, f"text {i}", "s") for i in range(200)])
+    first = exact_dedup.DigestIndex(spark, path, 8)
+    assert exact_dedup.keep_first(known, first).count() == 200
+    first.drop()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        with pytest.raises(ValueError, match="8 buckets"):
+            exact_dedup.DigestIndex(spark, path, 3)
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.n_buckets == 8 and exact_dedup.keep_first(known, again).count() == 0
+        rows = exact_dedup.classify(known.union(table(spark, [(300, "new", "s"), (301, "text  7", "s")])), again).collect()
+        assert [r.doc_id for r in rows if r.kept] == [300]
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in rows}[301] == (7, 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_exact_in_batches_against_brute_force(spark, index):
+    """Hot groups, repeated keepers, and longer texts among equal ones."""
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(0, 900)), "a b" if k < 700 else " " * int(rng.integers(0, 4)) + f"t{k % 90}", "s") for k in range(1500)]
+    rows += [(1, "a b  ", "s")] * 30
+    groups = {}
+    for d, t, _ in rows:
+        groups.setdefault("".join((t or "").split()), []).append((-len(t), d))
+    want = sorted((d, min(g)[1], len(g)) for g in groups.values() for _, d in g)
+    got = exact_dedup.classify_whole(table(spark, rows), index).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+    assert sorted((r.doc_id, r.text_sha256) for r in got if r.kept) == sorted((min(g)[1], hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items())
+    assert exact_dedup.classify_whole(table(spark, []), exact_dedup.DigestIndex(spark, new_folder(spark, "index"), 3)).count() == 0
+
+
+def test_exact_many_copies_of_a_row(spark, index, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BLOCK", 7)
+    got = exact_dedup.classify(table(spark, [(1, "x", "s")] * 50 + [(2, "x", "s")]), index).collect()
+    assert len(got) == 51 and sum(r.kept for r in got) == 1 and {r.group_size for r in got} == {51}
+
+
 def test_exact_empty(spark, index):
     assert exact_dedup.classify(table(spark, []), index).count() == 0
     assert exact_dedup.keep_first(table(spark, []), index).count() == 0
