@@ -77,6 +77,18 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+_maps: dict[tuple, dict] = {}
+
+
+def by_number(names: list[str]) -> dict[int, memoryview]:
+    """Content by number (the header's bucket) of all blobs in the files, mapped; a worker that serves many tasks does it once."""
+    key = tuple(names)
+    if key not in _maps:
+        _maps.clear()
+        _maps[key] = {number: view for number, _, view in opened(names)}
+    return _maps[key]
+
+
 def opened(names: list[str]) -> Iterator[tuple[int, int, memoryview]]:
     for name in names:
         local = SparkFiles.get(name.removeprefix("spark-file:")) if name.startswith("spark-file:") else name

@@ -1,15 +1,18 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split into words (the tokenizer's pre-tokens) in Spark, each distinct word is encoded once, and the
-table of words and ids is stored as sorted hash arrays. Texts are then split again and each position gets its word's
-ids by a look-up in those mapped arrays, which joins by position without moving a row for each word. Decoding joins
-ids to the pieces of the vocabulary, whose size is fixed by the tokenizer (a proven bound for a broadcast).
-
-A look-up compares a 64-bit hash and a 32-bit check; words whose hashes collide are left out and encoded directly.
-Special tokens in a text become their own ids, as the tokenizers library does.
-
-Defined cases: a null or empty text has no ids; repeated rows stay; an empty table gives an empty result; columns
-beyond those named are ignored by ``encode``. The operator serves byte-level BPE files of the tokenizers library.
+Texts are split into words (the tokenizer's pre-tokens) in Spark, each distinct word is encoded once, and the table of
+words and ids is stored as sorted hash arrays. Texts are then split again: each position gets its word's number, the
+batch's new numbers are joined with the table by hash, and the ids come back by position (one gather over all
+positions of a batch). The table is the only source of ids: a word that it lacks raises RuntimeError. Decoding joins ids
+with the table of pieces, one gather for a batch; the vocabulary's size is fixed by the tokenizer (a proven bound).
+
+A row for each position is never shuffled: it would move several times the text. A join compares a 64-bit hash and a 32-bit
+check; two words that agreed in both would raise ValueError when the table is built. Special tokens in a text become
+their own ids, as the tokenizers library does.
+
+Defined cases: a null or empty text has no ids; very long texts are read whole; repeated rows stay; an empty table gives an
+empty result; columns beyond those named are ignored by ``encode``. The operator serves byte-level BPE files of the
+tokenizers library.
 """
 
 from __future__ import annotations
@@ -17,31 +20,44 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafquarry.llm import blobs
-from leafquarry.llm.common import bound_batches, parts, pick
+from leafquarry.llm.common import bound_batches, parts, pick, written
 
-#: Words a worker holds before it passes them on or starts afresh.
+#: Words from which on a worker passes on what it holds, or starts afresh.
 MEMORY = 200_000
 #: Characters whose words are held at once.
 SLICE = 1_000_000
 SEED = 7
 
-# The pre-token pattern of the byte-level tokenizer, with white space spelled as the Unicode property.
-WORDS = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
+#: Words of the table in a bucket, on average at most.
+BUCKET = 1 << 19
 #: Beyond these letters the classes depend on the Unicode version, so the library's own splitter is used.
-BEYOND = re.compile("[^\u0000-ɏ]")
+LAST = 0x24F
+BEYOND = re.compile(f"[^\\x00-{chr(LAST)}]")
+
+
+def _class(kind: str) -> str:
+    """The characters up to LAST of a general category, as ranges of a pattern."""
+    own = [c for c in range(LAST + 1) if unicodedata.category(chr(c))[0] == kind]
+    first = [c for c in own if c - 1 not in own]
+    last = [c for c in own if c + 1 not in own]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last, strict=True))
+
+
+# The pre-token pattern of the byte-level tokenizer, over the letters up to LAST.
+WHITE, LETTER, DIGIT = r"\t-\r \x85\xa0", _class("L"), _class("N")
+WORDS = re.compile(rf" ?[{LETTER}]+| ?[{DIGIT}]+|'(?:[stmd]|re|ve|ll)| ?[^{WHITE}{LETTER}{DIGIT}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def byte_letters() -> dict[str, int]:
@@ -97,16 +113,23 @@ class Codec:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def piece_table(self) -> pa.Array:
+        """The piece of every id, in order of the ids."""
+        return pa.array([self.pieces.get(i) for i in range(max(self.pieces) + 1)], pa.binary())
+
+
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """The worker's codec of a file; one that serves many tasks parses it once."""
+    return Codec(path)
 
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """word: every distinct pre-token of the texts."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = Codec(path), set()
+        codec, seen = codec_of(path), set()
 
         def out() -> Iterator[pa.RecordBatch]:
             words = list(seen)
@@ -126,24 +149,23 @@ def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     return pick(docs, text="text").where("text <> ''").mapInArrow(run, "word string").distinct()
 
 
-def word_table(docs: DataFrame, path: str) -> list[str]:
-    """Files of sorted hash arrays: hash, check, start and ids of every distinct word, by the hash's leading bits."""
+def hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in raw), np.uint64, len(raw)), np.fromiter(map(crc32, raw), np.uint32, len(raw))
+
+
+def word_table(docs: DataFrame, path: str) -> tuple[list[str], int]:
+    """Files of sorted hash arrays: hash, check, start and ids of every distinct word, by the hash's leading bits; and
+    how many bits these are, by the number of words."""
     spark = docs.sparkSession
-    bits = max(4, (parts(spark) - 1).bit_length())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            raw = [w.encode() for w in words]
-            h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in raw), np.uint64, len(raw))
+            h, check = hashes([w.encode() for w in words])
             ids = [np.array(x, np.uint32).tobytes() for x in codec.encode_words(words)]
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
-            check = np.fromiter(map(crc32, raw), np.int64, len(raw))
             # as signed numbers of equal order
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), pa.array(check), pa.array(ids, pa.binary())], ["bucket", "h", "word_check", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array((h ^ np.uint64(1 << 63)).view(np.int64)), pa.array(check.astype(np.int64)), pa.array(ids, pa.binary())], ["h", "word_check", "ids"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -152,9 +174,10 @@ def word_table(docs: DataFrame, path: str) -> list[str]:
         def out() -> pa.RecordBatch:
             h, check = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             ids = [i for x in held for i in x[2]]
-            start = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))).astype(np.uint32)
-            keys = h.view(np.uint64) ^ np.uint64(1 << 63)
-            blob = blobs.packed(at, 0, keys, check.astype(np.uint32), start, np.frombuffer(b"".join(ids), np.uint32))
+            if ((h[1:] == h[:-1]) & (check[1:] == check[:-1])).any():
+                raise ValueError("two words have the same hash and check")
+            start = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+            blob = blobs.packed(at, 0, h.view(np.uint64) ^ np.uint64(1 << 63), check.astype(np.uint32), start, np.frombuffer(b"".join(ids), np.uint32))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
@@ -169,61 +192,80 @@ def word_table(docs: DataFrame, path: str) -> list[str]:
         if held:
             yield out()
 
-    coded = distinct_words(docs, path).mapInArrow(encode, "bucket int, h bigint, word_check bigint, ids binary")
-    tidy = coded.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "h")
-    return blobs.files(spark, blobs.write(tidy.mapInArrow(gather, "blob binary"), "word-table"))
-
-
-class Lookup:
-    """Words to ids (bytes of 32-bit numbers) by the mapped arrays; what they lack is encoded directly."""
-
-    def __init__(self, names: list[str], codec: Codec):
-        self.codec, self.known = codec, {}
-        self.buckets = {b: blobs.unpacked(view, (np.uint64, np.uint32, np.uint32, np.uint32)) for b, _, view in blobs.opened(names)}
-
-    def learn(self, words: set[str], bits: int) -> None:
-        """Looks the new ones among the words up, all at once."""
-        known = self.known
-        new = list(words.difference(known))
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list(words)
-        if not new:
+    coded = written(distinct_words(docs, path).mapInArrow(encode, "h bigint, word_check bigint, ids binary"), "coded-words")
+    bits = max(4, (coded.count() // BUCKET).bit_length(), min(12, (parts(spark) - 1).bit_length()))
+    bucket = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int")
+    tidy = coded.select(bucket.alias("bucket"), "h", "word_check", "ids").repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "h", "word_check")
+    return blobs.files(spark, blobs.write(tidy.mapInArrow(gather, "blob binary"), "word-table")), bits
+
+
+class Lookup(dict):
+    """Numbers of words, given as they first occur, and the ids of each number, joined from the mapped table."""
+
+    def __init__(self, names: list[str], bits: int, codec: Codec):
+        super().__init__()
+        self.codec, self.bits = codec, bits
+        self.buckets = {b: blobs.unpacked(view, (np.uint64, np.uint32, np.int64, np.uint32)) for b, view in blobs.by_number(names).items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        for content, i in self.codec.special.items():
+            self[content] = len(self)
+            self._append([np.array([i], np.uint32)])
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def _append(self, found: list[np.ndarray]) -> None:
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.ids = np.concatenate((self.ids, *found))
+
+    def join(self) -> None:
+        """The new words with the table."""
+        if not self.new:
             return
-        raw = [w.encode() for w in new]
-        h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in raw), np.uint64, len(raw))
-        crc = np.fromiter(map(crc32, raw), np.uint32, len(raw))
+        h, check = hashes([w.encode() for w in self.new])
+        found: list[np.ndarray | None] = [None] * len(h)
         order = np.argsort(h)
-        where = (h[order] >> np.uint64(64 - bits)).astype(np.int64)
-        lone = []
-        edges = np.flatnonzero(np.diff(where, prepend=-1))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(where)], strict=True):
-            own, table = order[a:b], self.buckets.get(int(where[a]))
-            if table is None:
-                lone += [new[k] for k in own.tolist()]
+        where = (h[order] >> np.uint64(64 - self.bits)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(where, prepend=-1, append=1 << 40))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (table := self.buckets.get(int(where[a]))) is None:
                 continue
-            keys, check, start, ids = table
+            (keys, checks, start, ids), own = table, order[a:b]
             low, high = np.searchsorted(keys, h[own]), np.searchsorted(keys, h[own], side="right")
-            at = np.minimum(low, len(keys) - 1)
-            good = (high == low + 1) & (check[at] == crc[own])
-            view = memoryview(ids).cast("B")
-            for k, i, j, ok in zip(own.tolist(), (4 * start[at].astype(np.int64)).tolist(), (4 * start[at + 1].astype(np.int64)).tolist(), good.tolist(), strict=True):
-                if ok:
-                    known[new[k]] = bytes(view[i:j])
-                else:
-                    lone.append(new[k])
-        for w, ids in zip(lone, self.codec.encode_words(lone), strict=True):
-            known[w] = np.array(ids, np.uint32).tobytes()
-
-
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (32-bit little-endian numbers as bytes): one row per row of docs."""
+            for k, i, j in zip(own.tolist(), low.tolist(), high.tolist(), strict=True):
+                for at in range(i, j):
+                    if checks[at] == check[k]:
+                        found[k] = ids[start[at] : start[at + 1]]
+        if any(x is None for x in found):
+            raise RuntimeError("the word table lacks a word of the texts")
+        self._append(found)
+        self.new.clear()
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at all positions in order, and how many each position has."""
+        length = self.length[numbers]
+        before = np.cumsum(length) - length
+        return self.ids[np.repeat(self.start[numbers] - before, length) + np.arange(int(length.sum()))], length
+
+
+def encode(docs: DataFrame, path: str | None = None, table: tuple[list[str], int] | None = None) -> DataFrame:
+    """doc_id, ids (32-bit little-endian numbers as bytes): one row per row of docs. table: what ``word_table`` gave for
+    these texts or more; made from docs where it isn't given."""
     spark, path = docs.sparkSession, path or default_path()
-    names, bits = word_table(docs, path), max(4, (parts(spark) - 1).bit_length())
-    bound_batches(spark)
+    names, bits = table or word_table(docs, path)
+    bound_batches(spark, 4 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(names, Codec(path))
+        lookup = Lookup(names, bits, codec_of(path))
         codec = lookup.codec
         for batch in batches:
             texts, out, at = blobs.texts_of(batch.column(1)), [], 0
@@ -232,11 +274,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 while upto < len(texts) and n < SLICE:
                     n += len(texts[upto])
                     upto += 1
-                split = [[special if special is not None else codec.words(part) for part, special in codec.segments(text)] for text in texts[at:upto]]
-                lookup.learn({w for segments in split for words in segments if isinstance(words, list) for w in words}, bits)
-                known = lookup.known.__getitem__
-                out += [b"".join(b"".join(map(known, x)) if isinstance(x, list) else np.uint32(x).tobytes() for x in segments) for segments in split]
+                numbers = []
+                for text in texts[at:upto]:
+                    own = [[part] if special is not None else codec.words(part) for part, special in codec.segments(text)]
+                    numbers.append(np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(lookup.__getitem__, x), np.int64, len(x)) for x in own)]))
+                lookup.join()
+                ids, length = lookup.of(np.concatenate(numbers))
+                ends = np.concatenate(([0], np.cumsum(length)))[np.cumsum([0, *map(len, numbers)])].tolist()
+                out += [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 at = upto
+                if len(lookup) > MEMORY:
+                    lookup.forget()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -244,14 +292,21 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, text."""
+    """doc_id, ids, text. An id without a piece raises ValueError; bytes that aren't UTF-8 become replacement characters."""
     path = path or default_path()
-    bound_batches(encoded.sparkSession)
+    bound_batches(encoded.sparkSession, 4 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        pieces = codec_of(path).piece_table()
         for batch in batches:
-            texts = [codec.decode(np.frombuffer(x or b"", np.uint32)) for x in batch.column(1).to_pylist()]
+            held = [x or b"" for x in batch.column(1).to_pylist()]
+            joined = pieces.take(pa.array(np.frombuffer(b"".join(held), np.uint32)))  # ids with pieces, by position
+            if joined.null_count:
+                raise ValueError("an id has no piece")
+            _, offsets, data = joined.buffers()
+            offsets, data = np.frombuffer(offsets, np.int32), memoryview(data or b"")
+            ends = offsets[np.cumsum([0, *(len(x) // 4 for x in held)])].tolist() if len(joined) else [0] * (len(held) + 1)
+            texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return pick(encoded, doc_id="doc_id", ids="ids").mapInArrow(run, "doc_id bigint, ids binary, text string")

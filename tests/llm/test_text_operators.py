@@ -114,11 +114,23 @@ def test_bpe_round_trip(spark):
     assert bpe.digested(table(spark, [])).count() == 0
 
 
-def test_bpe_collisions(monkeypatch):
-    codec = bpe.Codec(bpe.default_path())
-    lookup = bpe.Lookup([], codec)
-    lookup.learn({" the", "xyzzy"}, 4)
-    assert np.frombuffer(lookup.known[" the"], np.uint32).tolist() == codec.encode_words([" the"])[0]
+def test_bpe_ids_come_from_the_table(spark):
+    """A table that lacks a word makes the result fail; a larger one serves."""
+    docs = table(spark, [(1, "some words"), (2, "and more words")])
+    files, bits = bpe.word_table(docs, bpe.default_path())
+    assert bpe.encode(docs.where("doc_id = 1"), table=(files, bits)).count() == 1
+    for fewer in ([], bpe.word_table(docs.where("doc_id = 1"), bpe.default_path())[0]):
+        with pytest.raises(Exception, match="lacks a word"):
+            bpe.encode(docs, table=(fewer, bits)).collect()
+
+
+def test_bpe_splitter():
+    """The pattern against the library's splitter, on random texts over its letters."""
+    rng, codec = np.random.default_rng(1), bpe.Codec(bpe.default_path())
+    letters = [*" 'stremvld\n\t\r\x85\xa0aé²½1,.\x1c\x00ªºµǅƻ×÷"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, rng.integers(0, 14)))
+        assert bpe.WORDS.findall(text) == [bytes(codec.letters[c] for c in x).decode() for x, _ in codec.splitter.pre_tokenize_str(text)]
 
 
 @pytest.mark.parametrize("hot_share", [1 / 512, 1 / 4])
