@@ -86,7 +86,8 @@ class DigestIndex:
                 F.col("n_tied"),
             )
         )
-        groups = thin.groupBy("digest").agg(best.alias("b"))
+        # written, as Spark would else join before it groups, and a large group of copies would meet in one task
+        groups = written(thin.groupBy("digest").agg(best.alias("b")), "digest-groups")
         fresh = groups.join(self.spark.table(self.table).select("digest").hint("merge"), "digest", "left_anti")
         fresh.select(
             "digest",
