@@ -1,24 +1,25 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints of whole texts are grouped by value; the distinct ones are dealt to tiles by population count
-(and, within a count, by hash, so no tile outgrows TILE by much). Two fingerprints that differ in at most
-``radius`` bits have population counts at most ``radius`` apart, so other pairs of tiles are skipped; each
-remaining pair of tiles is compared by exclusive-or and bit counts in numpy. A tile pair returns a spanning
-forest of the links it found, never all of them, which is enough for the components. Components are found by
-large-star and small-star rounds on those links, each written to the shared folder.
-
-The number of tile pairs, and with it the work, grows with the square of the number of distinct
-fingerprints, divided among all tasks; the skipping leaves about a third for 64 bits and radius 2.
-
-``keep_one`` uses fingerprints of distinct shingles only to find candidates, within a radius that true pairs
-practically never exceed, and links texts by the exact Jaccard similarity of their distinct shingles. First each
-text's nearest candidate of each tile is verified (so a dense group costs its length), then every candidate pair
-that these links left in different components. Only candidates that fail can make the second step's pairs grow
-with the square of a group.
-
-Defined cases: a null or empty text has fingerprint zero, linked like any other; null doc_ids take part and
-are named by the smallest other doc_id of their component (null if there is none); repeated rows share a
-fingerprint and each stays in the result; an empty table gives an empty result.
+Fingerprints of whole texts are grouped by value; the distinct ones are dealt to tiles by band (of the population
+count or, in ``keep_one``, of the number of shingles) and, within a band, by hash, so no tile outgrows TILE by much.
+Two fingerprints that differ in at most ``radius`` bits have population counts at most ``radius`` apart, so pairs of tiles
+whose counts lie further apart are skipped; each remaining pair is compared by exclusive-or and bit counts in numpy.
+Tiles are raw files in the shared folder that workers map, so only the numbers of tile pairs are dealt to tasks, and
+a tile pair returns a spanning forest of its links, never all of them, which is enough for the components.
+Components are found by large-star and small-star rounds on those links, each written to the shared folder.
+
+The number of tile pairs, and with it the work, grows with the square of the number of distinct fingerprints, divided
+among all tasks; of them the skipping leaves a few hundredths for 64 bits and radius 2.
+
+``keep_one`` links texts by the exact Jaccard similarity of their distinct shingles (32 bits of each shingle's hash, in the
+tiles): fingerprints within a radius that true pairs practically never exceed only choose the pairs to verify, nearest
+first, and a pair whose texts the task has linked already is not verified again. Texts whose numbers of shingles
+rule the similarity out are never compared.
+
+Defined cases: a null or empty text has fingerprint zero, linked like any other; very long texts are read whole; null
+doc_ids take part and are named by the smallest other doc_id of their component (null if there is none); repeated rows
+share a fingerprint and each stays in the result (``keep_one`` keeps the rows that agree in doc_id and text with the one
+that stays); an empty table gives an empty result; columns beyond doc_id and text are ignored or, by ``keep_one``, passed through.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafquarry.llm.common import bound_batches, parts, pick, written
+from leafquarry.llm import blobs
+from leafquarry.llm.common import bound_batches, met, parts, pick, written
 
 SEED = 42
-#: Fingerprints in a tile, on average at most.
-TILE = 8192
+#: Fingerprints in a tile, and bytes of their shingles, on average at most.
+TILE, TILE_BYTES = 2048, 8 << 20
 #: Rows of one tile compared at once with all of another.
 STRIP = 32
+#: Pairs looked at before those that have been linked meanwhile are left out.
+HEAD = 512
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -140,75 +144,176 @@ def _links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return left, right
 
 
-def _columns(items, words: int) -> tuple[np.ndarray, np.ndarray]:
-    flat = items.values
-    return flat.field(0).to_numpy().copy(), np.stack([flat.field(1 + k).to_numpy().view(np.uint64) for k in range(words)])
-
-
-def links(nodes: DataFrame, radius: int, words: int) -> DataFrame:
-    """a, b: a spanning forest of the links among nodes (nid, f0, f1, ...)."""
+def tiled(nodes: DataFrame, band, span: int, radius: int, words: int, sets: bool = False) -> tuple[DataFrame, list[str]]:
+    """tile_a, tile_b of all tile pairs to compare (bands up to ``span`` apart), and the files that hold the tiles:
+    of nid, f0, f1, ... and, with sets, h (sorted numbers of 32 bits). nodes must be a written one."""
     spark = nodes.sparkSession
-    width = max(1, radius // 2)
-    span = -(-radius // width)
     total = sum((F.bit_count(f"f{k}") for k in range(1, words)), F.bit_count("f0"))
-    counted = nodes.withColumn("band", F.floor(total / width).cast("int"))
-    # one row for each band: at most 64 * words + 1
-    sizes = written(counted.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("chunks")), "tile-sizes")
-    item = F.struct("nid", *[f"f{k}" for k in range(words)])
-    tiles = written(
-        counted.join(F.broadcast(sizes), "band")
-        .withColumn("chunk", F.pmod(F.xxhash64("nid", F.lit(7)), F.col("chunks")).cast("int"))
-        .groupBy("band", "chunk")
-        .agg(F.collect_list(item).alias("items")),
-        "tiles",
-    )
-    other = sizes.select(F.col("band").alias("band_b"), F.col("chunks").alias("chunks_b"))
+    counted = nodes.withColumn("band", band.cast("int"))
+    weight = F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") * 4 / TILE_BYTES) if sets else F.count(F.lit(1)) / TILE
+    # one row a band: at most 64 * words + 1 by population count, some 600 by number of shingles
+    found = counted.groupBy("band").agg(F.ceil(weight).cast("int").alias("chunks"), F.min(total).alias("low"), F.max(total).alias("high")).orderBy("band").collect()
+    first = np.concatenate(([0], np.cumsum([r.chunks for r in found]))).tolist()
+    sizes = spark.createDataFrame([(*r, f) for r, f in zip(found, first, strict=False)], "band int, chunks int, low int, high int, first int")
+    tile = F.col("first") + F.pmod(F.xxhash64("nid", F.lit(7)), F.col("chunks")).cast("int")
+    fields = ["nid", *[f"f{k}" for k in range(words)], *(["h"] if sets else [])]
+    dealt = counted.join(F.broadcast(sizes), "band").select(tile.alias("tile"), *fields)
+
+    def gather(batches):
+        held, at = [], None
+
+        def out():
+            numbers = [np.concatenate([x[k] for x in held]) for k in range(1 + words)]
+            more = []
+            if sets:
+                raw = [v for x in held for v in x[1 + words]]
+                more = [np.concatenate(([0], np.cumsum([len(v) // 4 for v in raw]))).astype(np.int64), np.frombuffer(b"".join(raw), np.uint32)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([blobs.packed(at, 0, *numbers, *more)], pa.binary())], ["blob"])
+
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            for b in np.unique(number):
+                if at is not None and b != at:
+                    yield out()
+                at = int(b)
+                rows = batch.filter(pa.array(number == b))
+                held.append([rows.column(1 + k).to_numpy().copy() for k in range(1 + words)] + ([rows.column(2 + words).to_pylist()] if sets else []))
+        if held:
+            yield out()
+
+    bound_batches(spark)
+    tidy = dealt.repartition(parts(spark), "tile").sortWithinPartitions("tile")
+    names = blobs.files(spark, blobs.write(tidy.mapInArrow(gather, "blob binary"), "tiles"))
+    other = sizes.toDF("band_b", "chunks_b", "low_b", "high_b", "first_b")
     pairs = (
         sizes.withColumn("band_b", F.explode(F.sequence(F.col("band"), F.col("band") + span)))
         .join(other, "band_b")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("chunk_b", F.explode(F.sequence(F.lit(0), F.col("chunks_b") - 1)))
-        .where("band_b > band OR chunk_b >= chunk")
-        .select("band", "chunk", "band_b", "chunk_b")
-    )
-    b_side = tiles.select(F.col("band").alias("band_b"), F.col("chunk").alias("chunk_b"), F.col("items").alias("items_b"))
-    work = pairs.join(tiles, ["band", "chunk"]).join(b_side, ["band_b", "chunk_b"])
-    work = work.repartition(4 * parts(spark), "band", "chunk", "band_b", "chunk_b").select(
-        ((F.col("band") == F.col("band_b")) & (F.col("chunk") == F.col("chunk_b"))).alias("same"), "items", "items_b"
+        .where(F.col("low_b") <= F.col("high") + radius)
+        .where(F.col("low") <= F.col("high_b") + radius)
+        .withColumn("tile_a", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("chunks") - 1)))
+        .withColumn("tile_b", F.explode(F.sequence(F.greatest("first_b", "tile_a"), F.col("first_b") + F.col("chunks_b") - 1)))
+        .where("tile_b >= tile_a")
+        .select("tile_a", "tile_b")
     )
+    return pairs.repartition(4 * parts(spark), "tile_a", "tile_b"), names
+
+
+class Tile:
+    """A mapped tile: nids, prints (words x items) and, where it has them, sets."""
+
+    def __init__(self, view: memoryview, words: int, sets: bool = False):
+        found = blobs.unpacked(view, (np.int64, *[np.uint64] * words, *((np.int64, np.uint32) if sets else ())))
+        self.nids, self.prints = found[0], np.stack(found[1 : 1 + words])
+        if sets:
+            self.start, self.sets = found[1 + words :]
+            self.n = np.diff(self.start)
+
+    def set_of(self, k: int) -> np.ndarray:
+        return self.sets[self.start[k] : self.start[k + 1]]
+
+
+def compared(pairs: DataFrame, names: list[str], words: int, sets: bool, forest) -> DataFrame:
+    """a, b: what ``forest(tile, tile or None for the same)`` finds for every pair of tiles, as nids."""
 
     def run(batches):
+        last: dict[int, Tile] = {}
+
+        def tile(number: int) -> Tile:
+            if number not in last:
+                while len(last) > 3:
+                    del last[next(iter(last))]
+                last[number] = Tile(blobs.by_number(names)[number], words, sets)
+            return last[number]
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids_a, a = _columns(batch.column(1)[row], words)
-                ids_b, b = _columns(batch.column(2)[row], words)
-                i, j = _links(a, b, radius)
-                if batch.column(0)[row].as_py():  # both sides are one tile
-                    i, j = i % len(ids_a), j % len(ids_a)
-                    ids = ids_a
-                else:
-                    ids = np.concatenate((ids_a, ids_b))
-                if not len(i):
-                    continue
-                root = _roots(i, j, len(ids))
-                member = np.flatnonzero(root != np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[root[member]])], ["a", "b"])
+            for x, y in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                a, b = tile(x), tile(y) if x != y else None
+                left, right = forest(a, b)
+                if len(left):
+                    ids = np.concatenate((a.nids, b.nids)) if b else a.nids
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[left]), pa.array(ids[right])], ["a", "b"])
 
-    bound_batches(spark)
-    return work.mapInArrow(run, "a bigint, b bigint")
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def links(nodes: DataFrame, radius: int, words: int) -> DataFrame:
+    """a, b: a spanning forest of the links among nodes (nid, f0, f1, ...)."""
+    width = max(1, radius // 2)
+    total = sum((F.bit_count(f"f{k}") for k in range(1, words)), F.bit_count("f0"))
+    pairs, names = tiled(nodes, F.floor(total / width), -(-radius // width), radius, words)
+
+    def forest(a: Tile, b: Tile | None) -> tuple[np.ndarray, np.ndarray]:
+        i, j = _links(a.prints, (b or a).prints, radius)
+        n = len(a.nids)
+        if b is None:
+            i, j = i % n, j % n
+        if not len(i):
+            return i, j
+        root = _roots(i, j, n + len(b.nids) if b else n)
+        member = np.flatnonzero(root != np.arange(len(root)))
+        return member, root[member]
+
+    return compared(pairs, names, words, False, forest)
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least least[0] / least[1]."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return least[1] * common >= least[0] * (len(x) + len(y) - common)
+
+
+def verified_forest(a: Tile, b: Tile | None, radius: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of texts within the radius whose sets are similar."""
+    n, other = len(a.nids), b or a
+    root = np.arange(n + len(b.nids) if b else n)
+    left, right = [], []
+
+    def holds(p: int, q: int) -> bool:
+        return similar(a.set_of(p), other.set_of(q - n) if b else a.set_of(q), least)
+
+    for at in range(0, n, STRIP):
+        strip, skip = a.prints[:, at : at + STRIP], 0 if b else at
+        rest = other.prints[:, skip:]
+        # all 256 bits differing would count as none, but no such pair is similar
+        bits = sum(np.bitwise_count(strip[k][:, None] ^ rest[k][None, :]) for k in range(len(strip)))
+        i, j = np.nonzero(bits <= radius)
+        size_a, size_b = a.n[i + at], other.n[j + skip]
+        ok = least[1] * np.minimum(size_a, size_b) >= least[0] * np.maximum(size_a, size_b)
+        if b is None:
+            ok &= j > i
+        i, j = i[ok], j[ok]
+        order = np.argsort(bits[i, j], kind="stable")
+        p, q = i[order] + at, j[order] + skip + (n if b else 0)
+        while len(p):
+            live = root[p] != root[q]
+            p, q = p[live], q[live]
+            for x, y in zip(p[:HEAD].tolist(), q[:HEAD].tolist(), strict=True):
+                if root[x] != root[y] and holds(x, y):
+                    left.append(x)
+                    right.append(y)
+                    low, high = sorted((root[x], root[y]))
+                    root[root == high] = low
+            p, q = p[HEAD:], q[HEAD:]
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each node's component, for the nodes of the edges. Large-star and
-    small-star rounds (Kiveris et al. 2014) until nothing changes."""
+    small-star rounds (Kiveris et al. 2014) until nothing changes; nodes with many links are met by broadcast (``met``)."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("d")), "lowest")
+        large = written(met(both, low, ["a"], "d").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d")), "lowest")
+        small = met(large, low, ["a"], "d").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         edges = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if new == state:
@@ -217,144 +322,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, radius: int, words: int) -> tuple[DataFrame, list[str]]:
-    """nodes with their component's root: f0, f1, ..., best (smallest (unnamed, doc_id, t) among the rows), root."""
+    """nodes with their component's root: f0, f1, ..., best (smallest (unnamed, doc_id, t) among the rows), copies, root."""
     keys = [f"f{k}" for k in range(words)]
-    nodes = prints.groupBy(*keys).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")).alias("best"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t"))
+    nodes = prints.groupBy(*keys).agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes.withColumn("nid", F.col("f0") if words == 1 else F.xxhash64(*keys)), "nodes")
-    found = components(links(nodes, radius, words))
-    return nodes.join(found, nodes["nid"] == found["node"], "left").select(*keys, "best", F.coalesce("root", "nid").alias("root")), keys
+    found = components(links(nodes.select("nid", *keys), radius, words))
+    return nodes.join(found, nodes["nid"] == found["node"], "left").select(*keys, "best", "copies", F.coalesce("root", "nid").alias("root")), keys
 
 
 def set_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, t (hash of the text), nid (hash of its set of shingles), f0, f1, ... of distinct shingles."""
+    """row, doc_id, t (hash of the text), nid (hash of its set of shingles), n (their number), f0, f1, ... of distinct
+    shingles, and h, their hashes' upper 32 bits, sorted."""
     bound_batches(docs.sparkSession)
+    names = ["doc_id", "t", "nid", "n", *(f"f{k}" for k in range(words)), "h"]
 
     def run(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(x or b"", shingle)) for x in batch.column(2).cast(pa.binary()).to_pylist()]
             nids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
             found = np.array([mixed_majorities(h, words) for h in sets], np.uint64).reshape(-1, words).view(np.int64)
+            short = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in sets]
+            sizes = pa.array(np.array([len(x) for x in short], np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nids), *(pa.array(found[:, k]) for k in range(words))], ["doc_id", "t", "nid", *(f"f{k}" for k in range(words))]
+                [batch.column(0), batch.column(1), pa.array(nids), sizes, *(pa.array(found[:, k]) for k in range(words)), pa.array([x.tobytes() for x in short], pa.binary())], names
             )
 
     thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
-    schema = "doc_id bigint, t bigint, nid bigint, " + ", ".join(f"f{k} bigint" for k in range(words))
-    return written(thin.mapInArrow(run, schema), "fingerprints")
-
-
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j, bits: all pairs of rows of a and b that differ in at most radius bits. Of such a pair one half of the
-    words differs in at most half the radius."""
-
-    def bits(lo, hi):
-        out = np.zeros((a.shape[1], b.shape[1]), np.uint8)
-        for k in range(lo, hi):
-            out += np.bitwise_count(a[k][:, None] ^ b[k][None, :])
-        return out
-
-    first, second = bits(0, len(a) // 2), bits(len(a) // 2, len(a))
-    i, j = np.nonzero((first <= radius // 2) | (second <= radius // 2))
-    total = first[i, j].astype(np.int64) + second[i, j]
-    ok = total <= radius
-    return i[ok], j[ok], total[ok]
-
-
-def _tiles(nodes: DataFrame, chunks: int, fields: list[str]) -> DataFrame:
-    return nodes.withColumn("chunk", F.pmod(F.xxhash64("nid", F.lit(7)), F.lit(chunks)).cast("int")).groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias("items"))
-
-
-def nearest(nodes: DataFrame, chunks: int, radius: int, words: int) -> DataFrame:
-    """chunk_b, a, b, more: of each node and tile (from the node's own tile on) the nearest node within the radius, and
-    how many others are."""
-    spark = nodes.sparkSession
-    tiles = written(_tiles(nodes, chunks, ["nid", *[f"f{k}" for k in range(words)]]), "tiles")
-    b_side = tiles.select(F.col("chunk").alias("chunk_b"), F.col("items").alias("items_b"))
-    pairs = spark.range(chunks).select(F.col("id").cast("int").alias("chunk")).withColumn("chunk_b", F.explode(F.sequence(F.col("chunk"), F.lit(chunks - 1))))
-    work = pairs.join(tiles, "chunk").join(b_side, "chunk_b").repartition(4 * parts(spark), "chunk", "chunk_b").select("chunk", "chunk_b", "items", "items_b")
-
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                same, chunk_b = batch.column(0)[row].as_py() == batch.column(1)[row].as_py(), batch.column(1)[row].as_py()
-                ids_a, a = _columns(batch.column(2)[row], words)
-                ids_b, b = _columns(batch.column(3)[row], words)
-                if same:
-                    ids_b, b = ids_a, a
-                for at in range(0, len(ids_a), STRIP):
-                    i, j, bits = _near(a[:, at : at + STRIP], b, radius)
-                    i = i + at
-                    if same:
-                        i, j, bits = i[j < i], j[j < i], bits[j < i]
-                    if not len(i):
-                        continue
-                    order = np.lexsort((j, bits, i))
-                    who, first, count = np.unique(i[order], return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(who), chunk_b, np.int32)), pa.array(ids_a[who]), pa.array(ids_b[j[order][first]]), pa.array(count - 1)], ["chunk_b", "a", "b", "more"]
-                    )
-
-    bound_batches(spark)
-    return written(work.mapInArrow(run, "chunk_b int, a bigint, b bigint, more bigint"), "nearest")
-
-
-def apart(nodes: DataFrame, found: DataFrame, roots: DataFrame, chunks: int, radius: int, words: int) -> DataFrame:
-    """a, b: the pairs within the radius that ``nearest`` counted but did not name, of nodes with different roots."""
-    spark = nodes.sparkSession
-    named = nodes.join(roots, nodes["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
-    named = written(named, "nodes")
-    fields = ["root", *[f"f{k}" for k in range(words)], "nid"]
-    more = found.where("more > 0").select(F.col("a").alias("nid"), "chunk_b")
-    slices = max(1, -(-more.count() // (TILE * chunks)))  # for each tile, of TILE nodes at most on average
-    a_side = more.join(named, "nid").groupBy("chunk_b", F.pmod(F.xxhash64("nid", F.lit(8)), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct(*fields)).alias("items"))
-    b_side = _tiles(named, chunks, fields).select(F.col("chunk").alias("chunk_b"), F.col("items").alias("items_b"))
-    work = a_side.join(b_side, "chunk_b").repartition(4 * parts(spark), "chunk_b", "slice").select("items", "items_b")
-
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                root_a, a = _columns(batch.column(0)[row], words)
-                root_b, b = _columns(batch.column(1)[row], words)
-                ids_a, ids_b = (batch.column(k)[row].values.field(1 + words).to_numpy() for k in (0, 1))
-                for at in range(0, len(ids_a), STRIP):
-                    i, j, _ = _near(a[:, at : at + STRIP], b, radius)
-                    i = i + at
-                    other = root_a[i] != root_b[j]
-                    if other.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids_a[i[other]]), pa.array(ids_b[j[other]])], ["a", "b"])
-
-    bound_batches(spark)
-    return work.mapInArrow(run, "a bigint, b bigint")
-
-
-def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs whose distinct shingles have a Jaccard similarity of at least least[0] / least[1]. Shingles count as
-    equal where their 64-bit hashes are."""
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    texts = written(prints.join(wanted, "nid", "left_semi").groupBy("nid").agg(F.min("t").alias("t")), "wanted")  # small ones are broadcast, so that texts aren't shuffled
-
-    def sets(batches):
-        for batch in batches:
-            rows = [np.unique(shingle_hashes(x or b"", shingle)).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["nid", "h"])
-
-    bound_batches(docs.sparkSession)
-    thin = pick(docs, text="text").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
-    held = thin.join(texts, "t").select("nid", "text").mapInArrow(sets, "nid bigint, h binary")
-    held = written(held.groupBy("nid").agg(F.first("h").alias("h")), "shingle-sets")
-    both = pairs.join(held.select(F.col("nid").alias("a"), F.col("h").alias("ha")), "a").join(held.select(F.col("nid").alias("b"), F.col("h").alias("hb")), "b")
-
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(least[1] * common >= least[0] * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return written(both.select("a", "b", "ha", "hb").mapInArrow(compare, "a bigint, b bigint"), "verified")
+    schema = "doc_id bigint, t bigint, nid bigint, n bigint, " + ", ".join(f"f{k} bigint" for k in range(words)) + ", h binary"
+    return written(thin.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 72, least: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -362,17 +358,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 72
     ids the text with the smaller hash; rows that agree in both stay together). All columns pass through.
 
     Texts are linked where the Jaccard similarity of their distinct shingles is at least least[0] / least[1], checked
-    exactly. The radius only chooses what is checked: of 256 bits, pairs at 0.8 differ in 39 on average with a
+    exactly but for shingles whose hashes share 32 bits (some 10^-5 of a shingle's chances in a text of 20,000 words).
+    The radius only chooses what is checked: of 256 bits, pairs at 0.8 differ in 39 on average with a
     deviation of 6 (at worst 48, for texts of four and five shingles), unrelated ones in 128."""
     prints = set_prints(docs, shingle, words)
     keys = [f"f{k}" for k in range(words)]
-    nodes = written(prints.groupBy("nid", *keys).agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t")).alias("best")), "nodes")
-    slim = nodes.drop("best")
-    chunks = max(1, -(-nodes.count() // TILE))
-    found = nearest(slim, chunks, radius, words)
-    links = verified(docs, prints, found.select("a", "b"), shingle, least)
-    links = links.union(verified(docs, prints, apart(slim, found, components(links), chunks, radius, words), shingle, least))
-    roots = components(links)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t"))
+    nodes = written(prints.groupBy("nid").agg(best.alias("best"), F.min("row").alias("row")), "nodes")
+    others = written(prints.select("row").join(nodes.select("row"), "row", "left_anti"), "repeated")
+    single = prints.select("row", "nid", "n", *keys, "h").join(others, "row", "left_anti")
+    step = np.log(1.08)
+    span = int(np.log(least[1] / least[0]) / step) + 1
+    band = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step)))).otherwise(F.lit(-span - 1))
+    pairs, names = tiled(single, band, span, radius, words, sets=True)
+    found = compared(pairs, names, words, True, lambda a, b: verified_forest(a, b, radius, least))
+    roots = components(found)
     nodes = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("best", F.coalesce("root", "nid").alias("root"))
     keepers = nodes.groupBy("root").agg(F.min("best").alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.t").alias("keep_t"))
     names = docs.columns
@@ -388,9 +388,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     prints = fingerprints(docs, shingle, 1)
     nodes, keys = grouped(prints, radius, 1)
     nodes = written(nodes, "components")
-    names = nodes.groupBy("root").agg(F.min("best").alias("k")).select("root", F.col("k.doc_id").alias("component_id"))
-    classes = written(nodes.join(names, "root").select("f0", "component_id"), "components")
-    return prints.join(classes, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    names = nodes.groupBy("root").agg(F.min("best").alias("k"), F.count(F.lit(1)).alias("size")).select("root", F.col("k.doc_id").alias("component_id"), "size")
+    classes = written(met(nodes, written(names, "component-names"), ["root"], "size").select("f0", "component_id", "copies"), "classes")
+    return met(prints, classes, ["f0"], "copies").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
