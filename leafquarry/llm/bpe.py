@@ -17,6 +17,7 @@ tokenizers library.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -35,9 +36,11 @@ from leafquarry.llm import blobs
 from leafquarry.llm.common import bound_batches, parts, pick, written
 
 #: Words from which on a worker passes on what it holds, or starts afresh.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Characters whose words are held at once.
 SLICE = 1_000_000
+#: Bytes of a batch.
+BATCH = 2 << 20
 SEED = 7
 
 #: Words of the table in a bucket, on average at most.
@@ -126,7 +129,7 @@ def codec_of(path: str) -> Codec:
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
     """word: every distinct pre-token of the texts."""
-    bound_batches(docs.sparkSession, 4 << 20)
+    bound_batches(docs.sparkSession, BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, seen = codec_of(path), set()
@@ -257,12 +260,8 @@ class Lookup(dict):
         return self.ids[np.repeat(self.start[numbers] - before, length) + np.arange(int(length.sum()))], length
 
 
-def encode(docs: DataFrame, path: str | None = None, table: tuple[list[str], int] | None = None) -> DataFrame:
-    """doc_id, ids (32-bit little-endian numbers as bytes): one row per row of docs. table: what ``word_table`` gave for
-    these texts or more; made from docs where it isn't given."""
-    spark, path = docs.sparkSession, path or default_path()
-    names, bits = table or word_table(docs, path)
-    bound_batches(spark, 4 << 20)
+def encoder(names: list[str], bits: int, path: str):
+    """A function from batches of doc_id, text to batches of doc_id, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(names, bits, codec_of(path))
@@ -287,14 +286,11 @@ def encode(docs: DataFrame, path: str | None = None, table: tuple[list[str], int
                     lookup.forget()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
-    thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return thin.mapInArrow(run, "doc_id bigint, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, text. An id without a piece raises ValueError; bytes that aren't UTF-8 become replacement characters."""
-    path = path or default_path()
-    bound_batches(encoded.sparkSession, 4 << 20)
+def decoder(path: str):
+    """A function from batches of doc_id, ids to batches of doc_id, ids, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec_of(path).piece_table()
@@ -309,15 +305,47 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return pick(encoded, doc_id="doc_id", ids="ids").mapInArrow(run, "doc_id bigint, ids binary, text string")
+    return run
+
+
+def thin(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession, BATCH)
+    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def encode(docs: DataFrame, path: str | None = None, table: tuple[list[str], int] | None = None) -> DataFrame:
+    """doc_id, ids (32-bit little-endian numbers as bytes): one row per row of docs. table: what ``word_table`` gave for
+    these texts or more; made from docs where it isn't given."""
+    path = path or default_path()
+    names, bits = table or word_table(docs, path)
+    return thin(docs).mapInArrow(encoder(names, bits, path), "doc_id bigint, ids binary")
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, text. An id without a piece raises ValueError; bytes that aren't UTF-8 become replacement characters."""
+    bound_batches(encoded.sparkSession, BATCH)
+    return pick(encoded, doc_id="doc_id", ids="ids").mapInArrow(decoder(path or default_path()), "doc_id bigint, ids binary, text string")
 
 
 def digested(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``decode`` after ``encode``, in one worker a task."""
+    path = path or default_path()
+    names, bits = word_table(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoder(path)(encoder(names, bits, path)(batches)):
+            ids, texts = (batch.column(k).to_pylist() for k in (1, 2))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return thin(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
