@@ -1,19 +1,25 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. The first pass decides each block from where it stands (menus,
-headers, footers, asides, forms, notices, adverts and reader comments are out, by tag or by the words of their class,
-id or role), its length, its share of link text and its share of function words. Short blocks stay undecided; the
-second pass gives them the label of the nearest decided block, without those that their place alone ruled out.
-A block inside <article> or <main> needs no function words, so odd articles are kept whole.
-
-Defined cases: null and empty html give the empty text; unclosed tags end with what holds them; repeated rows stay; an
-empty table gives an empty result; columns beyond those named are ignored. Nothing else is dropped or cut.
+A page is cut into blocks at block-level tags. The first pass decides each block from its share of link text, its length
+and its share of function words; short blocks and unclear ones stay undecided, and the second pass gives them the
+label of the nearest decided block. What menus, footers, asides, notices, adverts, reader comments and the like hold
+(by tag, or by the words of their class, id or role) is left out before. Inside <article> or <main> a block needs no
+function words, and link text counts against it only in a run of such blocks. If the text inside is no less than
+what the passes keep beside it, the text beside it goes; else (a teaser, say) both count alike.
+
+What only a weak sign excludes (a form, a class such as "search" or "banner") is rescued by an <article> or <main> within
+it, and as a whole where the page has no other text.
+
+Defined cases: null and empty html give the empty text; unclosed tags end with what holds them; null ids and urls stay
+null; very long pages take time in proportion; repeated rows stay; an empty table gives an empty result; columns beyond
+those named are ignored. Nothing else is dropped or cut.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,98 +30,149 @@ from pyspark.sql import functions as F
 from leafquarry.llm.common import bound_batches, pick
 from leafquarry.llm.languages import EVERY_STOPWORD
 
-RAW = r"script|style|noscript|template|textarea|title|iframe|svg|math|object|select|canvas|audio|video"
+RAW = r"script|style|textarea|title|xmp"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-z][^>]*+>",
+    r"|<[!?][^>]*+>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<rest2>[^>]*+)>",
     re.IGNORECASE | re.DOTALL,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input label".split())
-OUTSIDE = frozenset("nav footer aside form head button dialog menu".split())
-HINT = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription"
-    r"|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|toolbar|masthead|footer|site-?header|page-?header|comments?|comment-?list|disqus|repl(?:y|ies)"
-    r"|respond|discussion|social|share|sharing|related|recommend\w*|widget|login|signup|search|skip-?link|copyright|legal|disclaimer)(?![a-z])"
+#: Tags whose contents are never text of the article, those of them that a block-level tag inside ends, and weak ones.
+OUTSIDE = frozenset("nav footer aside head button dialog menu noscript template iframe object canvas audio video svg math select".split())
+BROKEN_OUT_OF = frozenset("svg math select".split())
+BLOCK_TAGS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
+WEAK_TAGS = frozenset(["form"])
+#: Words that name what isn't the article: as a whole class or id, or as its first or last part.
+STRONG = frozenset(
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsors sponsored promo promos cookie cookies consent gdpr newsletter sidebar sidenav nav navbar navigation"
+    " menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer comment comments commentlist disqus replies respond share sharing related recommended"
+    " recommendations popup modal login signup subscribe subscription copyright widget widgets".split()
 )
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-ROLES = re.compile(r"(?<![a-z])(?:navigation|banner|contentinfo|complementary|search|dialog|alert)(?![a-z])")
+#: Words that do so only as a whole class, and not for what holds an article.
+WEAK = frozenset("search searchform notice notices alert alerts banner overlay legal disclaimer discussion side social header reply skip".split())
+COMMENT = frozenset("comment comments commentlist disqus replies".split())
+#: First and last parts of a class that speaks of the layout, not of the element.
+FIRST_NEUTRAL = frozenset("no has have with without is not hide show layout body col grid row js".split())
+LAST_NEUTRAL = frozenset("page layout results article post entry story template enabled disabled free".split())
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Code points below which a block is short, and from which it is long; shares of link text and of function words.
 SHORT, LONG = 70, 200
-MOST_LINKS = 0.35
+MOST_LINKS, FEW_LINKS = 0.35, 0.15
 FEW_STOPWORDS, SOME_STOPWORDS = 0.05, 0.12
+#: Blocks of link text in a row that make a list of links inside an article.
+LIST = 3
+
+
+def sign(name: str) -> int:
+    """What one class or id says of its element: 2 surely outside, 1 perhaps, 0 nothing."""
+    parts = [x for x in CAMEL.sub("-", name).lower().replace("_", "-").split("--")[0].split("-") if x]
+    if not parts or len(parts) > 1 and (parts[0] in FIRST_NEUTRAL or parts[-1] in LAST_NEUTRAL):
+        return 0
+    if parts[0] in STRONG or parts[-1] in STRONG or not COMMENT.isdisjoint(parts) or parts[-2:] in (["site", "header"], ["page", "header"]):
+        return 2
+    return 1 if len(parts) == 1 and parts[0] in WEAK else 0
+
+
+def signs(rest: str) -> int:
+    """The strongest sign of a tag's attributes."""
+    most = 0
+    for name, value in ATTRIBUTE.findall(rest):
+        words = value.strip("\"'").split()
+        if name.lower() == "role":
+            most = max(most, 2 * any(w.lower() in ROLES for w in words))
+        else:
+            most = max([most, *map(sign, words)])
+    return most
 
 
 @dataclass
 class Block:
+    """outside: 2 surely, 1 by a weak sign."""
+
     text: str
     links: int
     inside: bool
-    outside: bool
+    outside: int
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks with text, in page order."""
+    """The blocks with text, in page order, in one walk over the tags."""
     out: list[Block] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside an article, outside of the text
-    opened = ("", False, False)
+    stack: list[tuple[str, bool, int]] = []  # tag, inside an article, outside of the text
+    depth: Counter = Counter()  # of each open tag
+    opened: tuple[bool, int] | None = None  # where the block's first text stands
 
     def close() -> None:
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            links = len(" ".join(html.unescape("".join(link_parts)).split()))
-            out.append(Block(text, links, opened[1], opened[2]))
+        nonlocal opened
+        if opened is not None:
+            text = " ".join(html.unescape("".join(parts)).split())
+            if text:
+                out.append(Block(text, len(" ".join(html.unescape("".join(link_parts)).split())), *opened))
+        opened = None
         parts.clear()
         link_parts.clear()
 
-    def state() -> tuple[str, bool, bool]:
-        return stack[-1] if stack else ("", False, False)
+    def pop() -> str:
+        tag = stack.pop()[0]
+        depth[tag] -= 1
+        return tag
 
     def say(text: str) -> None:
         nonlocal opened
-        if not parts or not "".join(parts).strip():
-            opened = state()
+        if opened is None and text.strip():
+            opened = stack[-1][1:] if stack else (False, 0)
         parts.append(text)
-        if any(t == "a" for t, _, _ in stack):
+        if depth["a"]:
             link_parts.append(text)
 
-    last = 0
-    for m in TOKEN.finditer(page):
+    last, upto = 0, page.rfind(">") + 1  # no tag ends after that
+    for m in TOKEN.finditer(page, 0, upto):
         if m.start() > last:
             say(page[last : m.start()])
         last = m.end()
-        if m["raw"] and m["raw"].lower() not in ("script", "style", "title", "noscript", "template"):
+        if last == upto and page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+            last = len(page)  # an unclosed comment
+        if m["raw"] and m["raw"].lower() in ("textarea", "xmp"):
             close()
-        if not m["tag"]:
+        tag = (m["tag"] or m["tag2"] or "").lower()
+        if not tag:
             continue
-        tag = m["tag"].lower()
         if tag not in INLINE:
             close()
         if tag == "br":
             parts.append(" ")
-        if m["end"]:
-            at = max((k for k, (t, _, _) in enumerate(stack) if t == tag), default=None)
-            if at is not None:
-                del stack[at:]
+        if m["end"] or m["end2"]:
+            if depth[tag] > 0:
+                while pop() != tag:
+                    pass
             continue
-        if tag in VOID or m["rest"].endswith("/"):
+        rest = m["rest"] or m["rest2"] or ""
+        if tag in VOID or rest.endswith("/"):
             continue
         if tag not in INLINE:
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
-        _, inside, outside = state()
-        inside = inside or tag in ("article", "main")
-        outside = outside or tag in OUTSIDE or tag == "header" and not inside
-        if not outside and tag not in ("html", "body", "article", "main"):
-            for name, value in ATTRIBUTE.findall(m["rest"]):
-                value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().replace("_", "-")
-                outside = outside or bool((ROLES if name.lower() == "role" else HINT).search(value))
-        if len(stack) < 2000:  # deeper nesting keeps the state of what holds it
-            stack.append((tag, inside, outside))
+                pop()
+            if tag not in OUTSIDE and tag not in ("option", "optgroup") and any(depth[t] > 0 for t in BROKEN_OUT_OF) and tag in BLOCK_TAGS:
+                while any(depth[t] > 0 for t in BROKEN_OUT_OF):
+                    pop()
+        inside, outside = stack[-1][1:] if stack else (False, 0)
+        if tag in ("article", "main"):
+            inside, outside = True, 0 if outside == 1 else outside
+            outside = max(outside, 2 * (signs(rest) == 2))
+        elif tag in OUTSIDE or tag == "header" and not inside:
+            outside = 2
+        elif outside < 2 and tag not in ("html", "body"):
+            outside = max(outside, signs(rest), int(tag in WEAK_TAGS))
+        stack.append((tag, inside, outside))
+        depth[tag] += 1
     if last < len(page):
         say(page[last:])
     close()
@@ -124,47 +181,57 @@ def blocks_of(page: str) -> list[Block]:
 
 def first_pass(b: Block) -> bool | None:
     """Kept, dropped or (None) undecided."""
-    if b.outside:
-        return False
-    n, words = len(b.text), LETTERS.findall(b.text.lower())
+    n = len(b.text)
     if b.links > MOST_LINKS * n:
-        return False
+        return None if b.inside else False
     if n < SHORT:
         return None
     if b.inside:
         return True
+    words = LETTERS.findall(b.text.lower())
     share = sum(w in EVERY_STOPWORD for w in words) / max(1, len(words))
     if share >= SOME_STOPWORDS:
-        return True if n >= LONG else (True if b.links == 0 else None)
+        return True if n >= LONG or b.links <= FEW_LINKS * n else None
     if share < FEW_STOPWORDS:
         return False
     return None
 
 
+def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
+    """Undecided blocks get the label of the nearest decided one (of two equally near, kept if either is)."""
+    decided = [k for k, label in enumerate(labels) if label is not None]
+    final, at = [], 0
+    for k, label in enumerate(labels):
+        if label is None:
+            while at < len(decided) and decided[at] < k:
+                at += 1
+            near = [d for d in decided[max(0, at - 1) : at + 1]]
+            least = min((abs(d - k) for d in near), default=0)
+            label = any(labels[d] for d in near if abs(d - k) == least) if near else blocks[k].inside
+        final.append(label)
+    return final
+
+
+def chosen(blocks: list[Block]) -> list[Block]:
+    """The blocks to keep among those that their place doesn't exclude."""
+    labels, run = [first_pass(b) for b in blocks], 0
+    for k, b in enumerate(blocks):
+        run = run + 1 if b.links > MOST_LINKS * len(b.text) else 0
+        if run >= LIST:
+            labels[k - LIST + 1 : k + 1] = [False] * LIST
+    kept = [b for b, label in zip(blocks, second_pass(blocks, labels), strict=True) if label]
+    within = [b for b in kept if b.inside]
+    if within and 2 * sum(len(b.text) for b in within) >= sum(len(b.text) for b in kept):
+        return within
+    return kept
+
+
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    article = any(b.inside and not b.outside for b in blocks)
-    labels = [first_pass(b) for b in blocks]
-    if article:  # what stands beside an article isn't part of it
-        labels = [label if b.inside else False for b, label in zip(blocks, labels, strict=True)]
-    free = [k for k, b in enumerate(blocks) if not b.outside and (b.inside or not article)]
-    decided = [k for k in free if labels[k] is not None]
-    final, at = list(labels), 0
-    for k in free:
-        if labels[k] is not None:
-            continue
-        while at < len(decided) and decided[at] < k:
-            at += 1
-        before, after = (decided[at - 1] if at else None), (decided[at] if at < len(decided) else None)
-        if before is None and after is None:
-            final[k] = blocks[k].inside
-        elif before is None or after is None:
-            final[k] = labels[before if after is None else after]
-        elif k - before != after - k:
-            final[k] = labels[before if k - before < after - k else after]
-        else:
-            final[k] = labels[before] or labels[after]
-    return "\n".join(b.text for b, label in zip(blocks, final, strict=True) if label)
+    blocks = [b for b in blocks_of(page or "") if b.outside < 2]
+    kept = chosen([b for b in blocks if not b.outside])
+    if not kept:
+        kept = chosen(blocks)
+    return "\n".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:

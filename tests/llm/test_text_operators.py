@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -202,6 +203,38 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+BODY = "This is the text of the article, and it has many of the words that are in the list, so that it is long enough."
+PAGES = [  # html, the text that a reader would take for the article's
+    ('<div class="layout no-sidebar"><article><p>B</p></article></div>', "B"),
+    ('<body class="has-sidebar-left"><div class="search-results-page"><article><p>B</p></article></div>', "B"),
+    ('<div class="layout--related"><main><p>B</p></main></div>', "B"),
+    ('<article><p>B</p></article><section><article class="comment"><p>B B</p></article></section>', "B"),
+    ('<article><p>B</p></article><div id="post-comments"><article><p>B B B</p></article></div>', "B"),
+    ("<main><p>teaser</p></main><div><p>B</p><p>B</p></div>", "teaser\nB\nB"),
+    ("<div><svg><path d='x'><p>B</p></div>", "B"),
+    ("<div><select><option>one<p>B</p></div>", "B"),
+    ("<article><iframe src=x></iframe><p>B</p></article>", "B"),
+    ('<form id="page"><div><p>B</p><p>B</p></div></form>', "B\nB"),
+    ('<article><h1><a href="x">Title</a></h1><p>B</p><form><label>Name</label><input></form></article>', "Title\nB"),
+    ('<article><p>B</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article>', "B"),
+    ('<div class="social"><div role="navigation"><p>B</p></div></div><div><p>B</p></div>', "B"),
+    ("<p>B<!-- never closed <p>more", "B"),
+    ('<p title="never closed>B</p><p>B</p>', "B\nB"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_html_pages(page, want):
+    assert html_text.main_text(page.replace("B", BODY)) == want.replace("B", BODY)
+
+
+@pytest.mark.parametrize("piece", ["<b>word</b>", "<b><i>", '<a "', "<!--", "<div>", "<a '\">", "<p>x &amp; y"])
+def test_html_takes_linear_time(piece):
+    began = time.process_time()
+    html_text.main_text("<article>" + piece * (5_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100])
 def test_jpeg_paths_agree(n, monkeypatch):
     payload = np.random.default_rng(n).integers(0, 256, 64 * n, dtype=np.uint8).tobytes()
