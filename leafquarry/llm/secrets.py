@@ -1,18 +1,22 @@
 """Secrets in whole texts: fixed patterns, and strings that a primed compressor finds new.
 
-Each candidate of a sensitive context (a run of token characters soon after a word such as "key" or "bearer") is
-measured by its marginal bytes under zstandard: the size of the surrounding code with it less the size without it, both
-primed with a dictionary of identifiers and code. What hardly compresses is reported as kind ``novel`` unless a
-fixed pattern covers it already. Spans are in code points, ends exclusive; an assignment's span is the whole match.
-
-Defined cases: a null text counts as empty and has no spans; overlapping spans of different kinds all stay; repeated
-rows stay; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+A candidate is a run of token characters that follows a word such as "key" or "bearer" closely, or what follows such a
+word within the run. It is measured by its marginal bytes under zstandard: the size of the surrounding code with it
+less the size without it, both primed with a dictionary. That holds keywords of code and the identifiers that the documents
+themselves use most (counted in Spark over all whole texts; ``most`` bounds how many are taken). What hardly compresses
+is reported as kind ``novel`` unless a fixed pattern covers it. Spans are in code points, ends exclusive; an
+assignment's span is the whole match.
+
+Defined cases: a null text counts as empty and has no spans; very long texts are read whole, in time proportional to their
+length; overlapping spans of different kinds all stay; identifiers of equal count rank by name; repeated rows stay; an
+empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafquarry.llm.blobs import texts_of
 from leafquarry.llm.common import bound_batches, pick
 
 # The patterns and least lengths of the three base kinds.
@@ -31,30 +36,39 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 #: Words after which a string is looked at, lower case.
 CONTEXT = re.compile(r"bearer|authorization|credential|private|passphrase|passw|pwd|secret|token|key|auth", re.ASCII)
+LEAST_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}", re.ASCII)
 #: Characters after a context word within which a candidate begins; characters of code around it that prime the measure.
 REACH, AROUND = 48, 96
 #: Marginal bytes for each character from which a string counts as incompressible (random base64 has 0.75, hex 0.5 and more).
 LEAST_NOVELTY = 0.62
 
-# Identifiers and code of the usual kinds, to prime the compressor; any text of this sort would do.
-PRIMER = (
-    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 _-/+= "
-    "import os sys json requests from return def class self init args kwargs None True False async await function const let var "
-    "public static void main String int long double boolean private protected final new this super extends implements interface "
-    "username password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret "
-    "refresh_token access_token session_token bearer authorization credential credentials auth oauth login logout signin endpoint "
-    "https://www.example.com/index.html http://localhost:8080/api/v1/users Content-Type: application/json Authorization: Bearer "
-    "aws_access_key_id aws_secret_access_key region us-east-1 database_url postgres://user:password@localhost:5432/database "
-    "BEGIN RSA PRIVATE KEY END RSA PRIVATE KEY ssh-rsa AAAAB3NzaC1yc2E config settings environment production development staging "
-    "getElementById addEventListener querySelector createElement appendChild removeChild innerHTML className toString valueOf length "
-    "the and for with that this from have not are was were will would should could which their there about into over under after before"
-).encode()
+#: Identifiers that the dictionary takes at most.
+MOST_IDENTIFIERS = 3000
+#: Identifiers of code: parts joined by underscores or capitals, without digits (so that no key is one).
+IDENTIFIER = r"\b(?:[A-Za-z]{2,16}+(?:_[A-Za-z]{1,16}+)++|[a-z]{2,16}+(?:[A-Z][a-z]{1,16}+)++)\b"
+
+# Keywords of code; they and the identifiers prime the compressor.
+KEYWORDS = (
+    "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 _-/+= import from return def class self None True False async await function"
+    " const let var public static void String int long boolean private protected final new this super extends implements interface username password"
+    " secret token api_key access_key secret_key private_key client_id client_secret access_token session_token bearer authorization credential auth"
+    " https://www.example.com/index.html http://localhost:8080/api/v1/users Content-Type: application/json Authorization: Bearer"
+)
+
+
+def identifiers(docs: DataFrame, most: int = MOST_IDENTIFIERS) -> list[str]:
+    """The documents' most frequent identifiers, the most frequent first: a bounded list of short words."""
+    words = pick(docs, text="text").select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), 0)).alias("word")).where("length(word) <= 48")
+    found = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return [r.word for r in found.collect()]
 
 
 class Novelty:
-    def __init__(self):
-        primer = zstandard.ZstdCompressionDict(PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, words: list[str]):
+        text = " ".join((*reversed(words), KEYWORDS)).encode()  # what is likeliest stands nearest
+        primer = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer.precompute_compress(level=6)
         self.zip = zstandard.ZstdCompressor(level=6, dict_data=primer, write_checksum=False, write_content_size=False)
 
     def of(self, before: str, candidate: str, after: str) -> float:
@@ -75,21 +89,39 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str, low: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs near context words: a run counts from its start if a word ends at most REACH before it,
+    else from the end of the first word that it holds itself; what counts has 16 characters at least."""
+    ends = [m.end() for m in CONTEXT.finditer(low)]
+    found = []
+    if not ends:
+        return found
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        at = bisect_right(ends, a)
+        if at and a - ends[at - 1] <= REACH:
+            found.append((a, b))
+        elif at < len(ends) and ends[at] <= b - LEAST_CANDIDATE:
+            found.append((ends[at], b))
+    return found
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, low: str | None = None) -> list[tuple[int, int, int]]:
     low = text.lower() if low is None else low
     if len(low) != len(text):  # places would differ
         low = "".join(c.lower() if c.isascii() else c for c in text)
-    found, end = [], -1
-    for word in CONTEXT.finditer(low):
-        for m in CANDIDATE.finditer(text, max(word.end(), end)):
-            if m.start() > word.end() + REACH:
-                break
-            end = m.end()
-            if any(a < m.end() and m.start() < b for a, _, b in base) or not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
-                continue
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            if novelty.of(before, m[0], after) >= LEAST_NOVELTY:
-                found.append((m.start(), 3, m.end()))
+    starts, upto, most = [x[0] for x in base], [], 0
+    for _, _, b in base:
+        most = max(most, b)
+        upto.append(most)
+    found = []
+    for a, b in candidates(text, low):
+        before = bisect_left(starts, b)  # of the base spans that begin before its end, does one reach past its start?
+        string = text[a:b]
+        if before and upto[before - 1] > a or not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
+            continue
+        if novelty.of(text[max(0, a - AROUND) : a], string, text[b : b + AROUND]) >= LEAST_NOVELTY:
+            found.append((a, 3, b))
     return found
 
 
@@ -97,16 +129,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, most: int = MOST_IDENTIFIERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per row of docs."""
+    words = identifiers(docs, most)
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(words)
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            for text in texts_of(batch.column(1)):
                 low = text.lower()
                 base = base_spans(text, low)
                 rows.append((*(sum(k == n for _, k, _ in base) for n in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + novel_spans(text, base, novelty, low))))

@@ -100,6 +100,59 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, ODD)).count() == len(ODD) and secrets.scan(table(spark, [])).count() == 0
 
 
+def brute_candidates(text):
+    """Run by run and place by place."""
+    words, allowed = ("bearer", "authorization", "credential", "private", "passphrase", "passw", "pwd", "secret", "token", "key", "auth"), re.compile(r"[A-Za-z0-9+/_=\-]")
+    low, ends, at = text.lower(), [], 0
+    while at < len(low):
+        word = next((w for w in words if low.startswith(w, at)), None)
+        at += len(word) if word else 1
+        ends += [at] if word else []
+    found, a = [], 0
+    while a < len(text):
+        b = a
+        while b < len(text) and allowed.match(text[b]):
+            b += 1
+        if b - a >= 16:
+            start = a if any(0 <= a - e <= secrets.REACH for e in ends) else min((e for e in ends if a < e <= b - 16), default=None)
+            found += [] if start is None else [(start, b)]
+        a = max(b, a + 1)
+    return found
+
+
+def test_secret_candidates():
+    rng = np.random.default_rng(6)
+    pieces = ["the key", " is ", "bearer ", "Zk3Vq9XwT7uPb2Lm", "secret", "_", "x" * 40, "word " * 9, "a1b2c3d4e5f6", "=", " ", "authorization", "autho"]
+    novelty = secrets.Novelty(["some_name"])
+    for _ in range(300):
+        text = "".join(rng.choice(pieces, rng.integers(1, 25)))
+        assert secrets.candidates(text, text.lower()) == brute_candidates(text)
+        base = secrets.base_spans(text)
+        want = [
+            (a, 3, b)
+            for a, b in brute_candidates(text)
+            if not any(x < b and a < y for x, _, y in base)
+            and any(c.isdigit() for c in text[a:b])
+            and any(c.isalpha() for c in text[a:b])
+            and novelty.of(text[max(0, a - secrets.AROUND) : a], text[a:b], text[b : b + secrets.AROUND]) >= secrets.LEAST_NOVELTY
+        ]
+        assert secrets.novel_spans(text, base, novelty) == want
+
+
+def test_secrets_take_linear_time():
+    began = time.process_time()
+    for text in ("the key is " * 450_000, "secret = " * 550_000, "token" * 1_000_000, "a" * 5_000_000):
+        secrets.novel_spans(text, secrets.base_spans(text), secrets.Novelty([]))
+    assert time.process_time() - began < 8
+
+
+def test_secret_dictionary(spark):
+    docs = table(spark, [(1, "my_long_name camelCaseName my_long_name k3y_with_digits X"), (2, None), (3, "camelCaseName my_long_name aName bName")])
+    assert secrets.identifiers(docs) == ["my_long_name", "camelCaseName"] and secrets.identifiers(docs, 1) == ["my_long_name"]
+    plain, primed = secrets.Novelty([]), secrets.Novelty(["quite_unusual_identifier"])
+    assert primed.of("", "quite_unusual_identifier2", "") < plain.of("", "quite_unusual_identifier2", "")
+
+
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 
