@@ -310,13 +310,16 @@ def test_jpeg_transform():
     assert np.allclose((c @ jpeg.INVERSE).reshape(8, 8), np.tile(want, (8, 1)), atol=1e-4)
 
 
-def test_jpeg_columns(spark):
+def test_jpeg_columns(spark, tmp_path):
     docs = table(spark, ODD)
     media = jpeg.stored(docs)
     for r in jpeg.features(media).collect():
         raw = next(t for d, t in ODD if d == r.doc_id) or ""
         payload = jpeg.padded(raw.encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    held, tensors = jpeg.store(docs, str(tmp_path / "media"), str(tmp_path / "tensors"))
+    assert sorted(map(str, jpeg.features(held).collect())) == sorted(map(str, jpeg.features(media).collect()))
+    assert tensors.selectExpr("sum(length(rgb))").first()[0] == sum(768 * np.prod(jpeg.layout(max(1, -(-len((t or "").encode()) // 64)))) for _, t in ODD)
     shapes = jpeg.tensors(media).selectExpr("height * width * 3 = length(rgb) AS ok").collect()
     assert len(shapes) == len(ODD) and all(r.ok for r in shapes)
     assert jpeg.features(jpeg.stored(table(spark, []))).count() == 0
