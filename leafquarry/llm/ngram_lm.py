@@ -3,10 +3,12 @@
 Counting runs in Spark over all training texts: tasks sum the pairs of their texts, pairs are dealt by hash of
 their first word (by both words where the first one is hot, see HOT_SHARE), and each bucket is stored as an array of
 sorted pair hashes with counts. Words have arrays of counts, continuation counts and context statistics. Workers map
-these files into memory and look up a batch's pairs at once. Nothing is pruned or sampled, and the driver holds only
-totals. The files take about 12 bytes for each distinct pair and 36 for each distinct word.
+these files into memory and look up a batch's pairs at once. The number of buckets follows the number of tokens, so a
+bucket's size doesn't grow with the corpus. Counts are 64-bit (pairs: 32 bits, and a list of those beyond). Nothing is
+pruned or sampled, and the driver holds only totals. The files take about 12 bytes for each distinct pair and 56 for
+each distinct word.
 
-Defined cases: null and empty texts are one end token; null ids count as the empty text for the hold-out; without
+Defined cases: null and empty texts are one end token; very long texts are read whole; null ids count as the empty text for the hold-out; without
 training texts every token's probability is 1; repeated rows stay (and count in training as often); columns
 beyond doc_id and text are ignored.
 """
@@ -29,11 +31,13 @@ from leafquarry.llm.common import bound_batches, crc_mod, parts, pick, written
 SEED = 42
 #: Hashes of the end token and of the context of a text's first token; no word holds a line end.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, SEED)) for x in (b"\n", b"\n\n"))
-#: A word with at least this share of all tokens is hot: at most 1 / HOT_SHARE words are.
-HOT_SHARE = 1 / 512
+#: A word with more than this share of all tokens, and more than so many, is hot: at most 1 / HOT_SHARE words are.
+HOT_SHARE, LEAST_HOT = 1 / 65536, 500_000
 #: Tokens whose pairs a task sums before it passes them on; words it remembers.
 HELD, MEMORY = 3_000_000, 400_000
 PAIRS, STATS = 0, 1
+#: Tokens whose pairs share a bucket, on average at most; the largest count that 32 bits hold for a pair.
+PER_BUCKET, TOP = 1_000_000, (1 << 32) - 1
 
 
 class Words(dict):
@@ -73,6 +77,17 @@ def summed(keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[tuple[np.n
     return tuple(k[first] for k in keys), np.add.reduceat(values[order], first)
 
 
+def pair_blob(bucket: int, pair: np.ndarray, c: np.ndarray) -> bytes:
+    """Sorted pair hashes with counts of 32 bits; those of TOP and more follow with 64."""
+    order = np.argsort(pair)
+    pair, c = pair[order], c[order].astype(np.uint64)
+    over = c >= TOP
+    return blobs.packed(bucket, PAIRS, pair, np.minimum(c, TOP).astype(np.uint32), pair[over], c[over])
+
+
+PAIR_KINDS = (np.uint64, np.uint32, np.uint64, np.uint64)
+
+
 def unigrams(texts: DataFrame) -> DataFrame:
     """w, c: every token and its count."""
 
@@ -138,16 +153,13 @@ def pair_files(texts: DataFrame, hot: np.ndarray, bits: int) -> str:
             u, w, c = (np.concatenate([x[k] for x in held]) for k in range(3))
             held.clear()
             (u, w), c = summed((u, w), c)
-            pair = mixed(u, w)
-            order = np.argsort(pair)
-            counts = c[order].astype(np.uint32)
             first = np.flatnonzero(np.diff(u, prepend=~u[0]))
             few = [np.add.reduceat(x, first, dtype=np.int64).astype(np.uint32) for x in (c == 1, c == 2, c >= 3)]
             after, continued = np.unique(w, return_counts=True)
             stats = blobs.packed(
                 at, STATS, u[first], np.add.reduceat(c, first).astype(np.uint64), *few, after, continued.astype(np.uint32), np.array([(c == k).sum() for k in (1, 2, 3, 4)], np.uint64)
             )
-            return pa.RecordBatch.from_arrays([pa.array([PAIRS, STATS], pa.int32()), pa.array([blobs.packed(at, PAIRS, pair[order], counts), stats], pa.binary())], ["kind", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([PAIRS, STATS], pa.int32()), pa.array([pair_blob(at, mixed(u, w), c), stats], pa.binary())], ["kind", "blob"])
 
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -225,7 +237,6 @@ class Model:
 def word_files(words: DataFrame, bits: int) -> list[str]:
     """Files of sorted word hashes with their columns, by the hash's leading bits."""
     spark = words.sparkSession
-    kinds = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -235,7 +246,7 @@ def word_files(words: DataFrame, bits: int) -> list[str]:
             held.clear()
             keys = columns[0].view(np.uint64)
             order = np.argsort(keys)
-            blob = blobs.packed(at, 0, keys[order], *(c[order].astype(t) for c, t in zip(columns[1:], kinds, strict=True)))
+            blob = blobs.packed(at, 0, keys[order], *(c[order].astype(np.uint64) for c in columns[1:]))
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
         for batch in batches:
@@ -262,13 +273,13 @@ def release(spark: SparkSession) -> None:
 def train(texts: DataFrame) -> Model:
     """texts: one binary column. Two passes over it, then sums of what they wrote."""
     spark = texts.sparkSession
-    bound_batches(spark)
-    bits = max(4, (parts(spark) - 1).bit_length())
+    bound_batches(spark, 4 << 20)
     counted = written(unigrams(texts), "unigrams")
     tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    bits = max(4, (tokens // PER_BUCKET).bit_length())
     if not tokens:
         return Model([], [], bits, np.zeros(0, np.uint64), 0, 0, discounts([0] * 4), discounts([0] * 4), 0, 1.0)
-    hot = np.array([r.w for r in counted.where(F.col("c") > tokens * HOT_SHARE).select("w").collect()], np.int64).view(np.uint64)
+    hot = np.array([r.w for r in counted.where(F.col("c") > max(tokens * HOT_SHARE, LEAST_HOT)).select("w").collect()], np.int64).view(np.uint64)
     folder = pair_files(texts, hot, bits)
     release(spark)
     words, of_pairs = word_rows(spark, folder, counted)
@@ -285,9 +296,8 @@ def train(texts: DataFrame) -> Model:
 class Scorer:
     def __init__(self, model: Model):
         self.m = model
-        self.pairs = {b: blobs.unpacked(v, (np.uint64, np.uint32)) for b, _, v in blobs.opened(model.pairs)}
-        kinds = (np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
-        self.words = {b: blobs.unpacked(v, kinds) for b, _, v in blobs.opened(model.words)}
+        self.pairs = {b: blobs.unpacked(v, PAIR_KINDS) for b, _, v in blobs.opened(model.pairs)}
+        self.words = {b: blobs.unpacked(v, (np.uint64,) * (1 + len(WORD_COLUMNS))) for b, _, v in blobs.opened(model.words)}
 
     def _found(self, tables: dict, bucket: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
         """Columns of the sorted keys, zero where they are missing."""
@@ -305,6 +315,13 @@ class Scorer:
                 out[k, order[a:b]] = np.where(hit, table[k + 1][at], 0)
         return out
 
+    def counts(self, bucket: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        (seen,) = self._found(self.pairs, bucket, pair, 1)
+        for k in np.flatnonzero(seen == TOP).tolist():
+            _, _, over, c = self.pairs[int(bucket[k])]
+            seen[k] = c[np.searchsorted(over, pair[k])]
+        return seen
+
     def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each text (hashes of its tokens)."""
         m = self.m
@@ -317,7 +334,7 @@ class Scorer:
         key, back = np.unique(pu * len(names) + pw, return_inverse=True)
         ku, kw = names[key // len(names)], names[key % len(names)]
         pair = mixed(ku, kw)
-        (seen,) = self._found(self.pairs, buckets(ku, pair, m.hot, m.bits), pair, 1)
+        seen = self.counts(buckets(ku, pair, m.hot, m.bits), pair)
         below = (continued - m.taken_below[np.minimum(continued, 3).astype(int)]) / max(1, m.distinct_pairs) + m.rest_below / (m.distinct + 1)
         ku, kw = key // len(names), key % len(names)
         whole = np.maximum(total[ku], 1)
@@ -328,15 +345,25 @@ class Scorer:
         return sums((c > 0).astype(np.int64)[pw], start), sums(base[pw], start), sums(np.log10(p)[back], start)
 
 
+_held: list[Scorer] = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer of this model; a worker that serves many tasks maps the files once."""
+    if not _held or _held[0].m is not model:
+        _held[:] = [Scorer(model)]
+    return _held[0]
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)  # names and totals only
-    bound_batches(spark)
+    bound_batches(spark, 4 << 20)
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, words = Scorer(shipped.value), Words()
+        scorer, words = scorer_of(shipped.value), Words()
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -190,6 +190,7 @@ def test_bpe_splitter():
 @pytest.mark.parametrize("hot_share", [1 / 512, 1 / 4])
 def test_language_model(spark, monkeypatch, hot_share):
     monkeypatch.setattr(ngram_lm, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(ngram_lm, "LEAST_HOT", 0)
     rng = np.random.default_rng(4)
     texts = [" ".join(f"W{x}" for x in rng.zipf(1.6, 60) % 40) for _ in range(60)] + [None, "", "unseen words only", "W1 W1"]
     docs = table(spark, list(enumerate(texts)))
@@ -223,6 +224,13 @@ def test_language_model(spark, monkeypatch, hot_share):
         assert r.score == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip(["^", *t[:-1]], t, strict=True)))
 
 
+def test_language_model_counts_beyond_32_bits(tmp_path):
+    pair, c = np.array([9, 2, 5, 7], np.uint64), np.array([3, 2**40, 2**32 - 1, 2**32 - 2])
+    (tmp_path / "pairs").write_bytes(ngram_lm.pair_blob(3, pair, c) + b"\n")
+    scorer = ngram_lm.Scorer(ngram_lm.Model([str(tmp_path / "pairs")], [], 4, pair, 1, 1, ngram_lm.discounts([0] * 4), ngram_lm.discounts([0] * 4), 0, 1.0))
+    assert scorer.counts(np.full(5, 3), np.array([2, 5, 6, 7, 9], np.uint64)).tolist() == [2**40, 2**32 - 1, 0, 2**32 - 2, 3]
+
+
 def test_language_model_odd(spark):
     empty = ngram_lm.train(table(spark, []).selectExpr("cast(text as binary) AS text"))
     assert {r.score for r in ngram_lm.scored(table(spark, ODD), empty).collect()} == {0.0}
