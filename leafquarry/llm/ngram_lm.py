@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,26 +35,56 @@ END, START = (np.uint64(xxhash.xxh64_intdigest(x, SEED)) for x in (b"\n", b"\n\n
 #: A word with more than this share of all tokens, and more than so many, is hot: at most 1 / HOT_SHARE words are.
 HOT_SHARE, LEAST_HOT = 1 / 65536, 500_000
 #: Tokens whose pairs a task sums before it passes them on; words it remembers.
-HELD, MEMORY = 3_000_000, 400_000
+HELD, MEMORY = 3_000_000, 300_000
 PAIRS, STATS = 0, 1
 #: Tokens whose pairs share a bucket, on average at most; the largest count that 32 bits hold for a pair.
 PER_BUCKET, TOP = 1_000_000, (1 << 32) - 1
 
 
 class Words(dict):
-    """Word to hash, remembered."""
+    """Word to number, given as words first occur; ``hashes`` has the hash of each number."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.update({b"\n": 0, b"\n\n": 1})
+        self.known, self.new = np.array([END, START], np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
+        n = self[word] = len(self)
+        self.new.append(xxhash.xxh64_intdigest(word, SEED))
+        return n
 
     def of(self, text: bytes | None) -> np.ndarray:
-        """Hashes of a text's tokens, the end last."""
+        """Numbers of a text's tokens, the end (0) last."""
         words = text.lower().split() if text else []
-        if len(self) > MEMORY:
-            self.clear()
-        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return np.append(out, END)
+        out = np.zeros(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return out
+
+    def hashes(self) -> np.ndarray:
+        if self.new:
+            self.known = np.concatenate((self.known, np.array(self.new, np.uint64)))
+            self.new.clear()
+        return self.known
+
+
+def contexts(texts: list[np.ndarray]) -> np.ndarray:
+    """The number before each token, START (1) before the first of a text."""
+    w = np.concatenate(texts)
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[np.cumsum([0, *map(len, texts[:-1])])] = 1
+    return u
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, as they first occur, and the place of each key among them."""
+    place, own = pd.factorize(keys)
+    return own, place
 
 
 def mixed(u: np.ndarray, w: np.ndarray | np.uint64) -> np.ndarray:
@@ -95,15 +126,17 @@ def unigrams(texts: DataFrame) -> DataFrame:
         words, held, n = Words(), [], 0
 
         def out() -> pa.RecordBatch:
-            w, c = np.unique(np.concatenate(held), return_counts=True)
+            c = np.bincount(np.concatenate(held), minlength=len(words))
+            w = words.hashes()[c > 0]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c)], ["w", "c"])
+            words.forget()
+            return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c[c > 0])], ["w", "c"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.append(words.of(text))
                 n += len(held[-1])
-                if n >= HELD:
+                if n >= HELD or len(words) > MEMORY:
                     yield out()
                     n = 0
         if held:
@@ -120,18 +153,18 @@ def pair_files(texts: DataFrame, hot: np.ndarray, bits: int) -> str:
         words, held, n = Words(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            w = np.concatenate(held)
-            u = np.concatenate([np.concatenate(([START], x[:-1])) for x in held])
+            names, many = words.hashes(), len(words)
+            key, place = distinct(contexts(held) * many + np.concatenate(held))
+            c = np.bincount(place)
             held.clear()
-            names, place = np.unique(np.concatenate((u, w)), return_inverse=True)
-            key, c = np.unique(place[: len(u)] * len(names) + place[len(u) :], return_counts=True)
-            u, w = names[key // len(names)], names[key % len(names)]
+            words.forget()
+            own, u, w = key // many, names[key // many], names[key % many]
             bucket = buckets(u, mixed(u, w), hot, bits)
-            order = np.argsort(bucket, kind="stable")  # within a bucket still by u, then w
-            u, w, c, bucket = u[order], w[order], c[order], bucket[order]
+            order = np.argsort(bucket * many + own)  # by bucket, within one by context
+            own, u, w, c, bucket = own[order], u[order], w[order], c[order], bucket[order]
             edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 40))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                first = np.flatnonzero(np.diff(u[a:b], prepend=~u[a]))
+                first = np.flatnonzero(np.diff(own[a:b], prepend=-1))
                 runs = np.diff(first, append=b - a).astype(np.uint32)
                 blob = blobs.packed(0, 0, u[a:b][first], runs, w[a:b], c[a:b].astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
@@ -140,7 +173,7 @@ def pair_files(texts: DataFrame, hot: np.ndarray, bits: int) -> str:
             for text in batch.column(0).to_pylist():
                 held.append(words.of(text))
                 n += len(held[-1])
-                if n >= HELD:
+                if n >= HELD or len(words) > MEMORY:
                     yield from out()
                     n = 0
         if held:
@@ -298,11 +331,13 @@ class Scorer:
         self.m = model
         self.pairs = {b: blobs.unpacked(v, PAIR_KINDS) for b, _, v in blobs.opened(model.pairs)}
         self.words = {b: blobs.unpacked(v, (np.uint64,) * (1 + len(WORD_COLUMNS))) for b, _, v in blobs.opened(model.words)}
+        self.columns = np.zeros((len(WORD_COLUMNS), 0))
+        self.numbers = Words()
 
     def _found(self, tables: dict, bucket: np.ndarray, keys: np.ndarray, columns: int) -> np.ndarray:
         """Columns of the sorted keys, zero where they are missing."""
         out = np.zeros((columns, len(keys)))
-        order = np.lexsort((keys, bucket))
+        order = np.argsort(bucket.astype(np.uint16) if self.m.bits <= 16 else bucket, kind="stable")
         keys, bucket = keys[order], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << 40))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -322,27 +357,36 @@ class Scorer:
             seen[k] = c[np.searchsorted(over, pair[k])]
         return seen
 
-    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known tokens, base score and score of each text (hashes of its tokens)."""
-        m = self.m
+    def learn(self, words: Words) -> np.ndarray:
+        """The columns of all numbers; what is new since the last batch is looked up."""
+        names = words.hashes()
+        new = names[self.columns.shape[1] :]
+        if len(new):
+            found = self._found(self.words, (new >> np.uint64(64 - self.m.bits)).astype(np.int64), new, len(WORD_COLUMNS))
+            self.columns = np.concatenate((self.columns, found), axis=1)
+        return names
+
+    def score(self, texts: list[np.ndarray], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base score and score of each text (numbers of its tokens)."""
+        m, names, many = self.m, self.learn(words), len(words)
+        c, total, n1, n2, n3, continued = self.columns
         w = np.concatenate(texts)
-        u = np.concatenate([np.concatenate(([START], x[:-1])) for x in texts])
+        key, back = distinct(contexts(texts) * many + w)
         start = np.concatenate(([0], np.cumsum([len(x) for x in texts])[:-1]))
-        names, place = np.unique(np.concatenate((u, w)), return_inverse=True)
-        c, total, n1, n2, n3, continued = self._found(self.words, (names >> np.uint64(64 - m.bits)).astype(np.int64), names, 6)
-        pu, pw = place[: len(u)], place[len(u) :]
-        key, back = np.unique(pu * len(names) + pw, return_inverse=True)
-        ku, kw = names[key // len(names)], names[key % len(names)]
-        pair = mixed(ku, kw)
-        seen = self.counts(buckets(ku, pair, m.hot, m.bits), pair)
-        below = (continued - m.taken_below[np.minimum(continued, 3).astype(int)]) / max(1, m.distinct_pairs) + m.rest_below / (m.distinct + 1)
-        ku, kw = key // len(names), key % len(names)
-        whole = np.maximum(total[ku], 1)
-        rest = np.where(total[ku] > 0, (m.taken[1] * n1[ku] + m.taken[2] * n2[ku] + m.taken[3] * n3[ku]) / whole, 1.0)
-        p = (seen - m.taken[np.minimum(seen, 3).astype(int)]) / whole + rest * below[kw]
+        u, v = key // many, key % many
+        pair = mixed(names[u], names[v])
+        seen = self.counts(buckets(names[u], pair, m.hot, m.bits), pair)
+        below = (continued[v] - m.taken_below[np.minimum(continued[v], 3).astype(int)]) / max(1, m.distinct_pairs) + m.rest_below / (m.distinct + 1)
+        whole = np.maximum(total[u], 1)
+        rest = np.where(total[u] > 0, (m.taken[1] * n1[u] + m.taken[2] * n2[u] + m.taken[3] * n3[u]) / whole, 1.0)
+        p = (seen - m.taken[np.minimum(seen, 3).astype(int)]) / whole + rest * below
         base = np.log10((c + 1) / (m.tokens + m.distinct + 1))
         sums = np.add.reduceat
-        return sums((c > 0).astype(np.int64)[pw], start), sums(base[pw], start), sums(np.log10(p)[back], start)
+        out = sums((c > 0).astype(np.int64)[w], start), sums(base[w], start), sums(np.log10(p)[back], start)
+        if many > MEMORY:
+            words.forget()
+            self.columns = self.columns[:, :0]
+        return out
 
 
 _held: list[Scorer] = []
@@ -363,12 +407,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, words = scorer_of(shipped.value), Words()
+        scorer = scorer_of(shipped.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = [words.of(x) for x in batch.column(1).to_pylist()]
-            known, base, score = scorer.score(texts)
+            texts = [scorer.numbers.of(x) for x in batch.column(1).to_pylist()]
+            known, base, score = scorer.score(texts, scorer.numbers)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (np.array([len(x) for x in texts], np.int64), known, base, score))], names)
 
     thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
