@@ -7,9 +7,10 @@ The score is a logistic curve of the margin, fitted on rows that the model didn'
 
 Training takes at most ``most_rows`` labelled rows, chosen by hash (a bounded sample). Scoring reads every whole text.
 
-Defined cases: null and empty texts have no features and score what the constant gives; null ids count as the
-empty text for the hold-out; without labels of both kinds every score is the share of label 1 (0.5 without labels).
-Repeated rows stay; columns beyond those named are ignored.
+Defined cases: null and empty texts have no features and score what the constant gives; very long texts are read
+whole; null ids count as the empty text for the hold-out; an id labelled twice is good if one label says so; without
+labels of both kinds every score is the share of label 1 (0.5 without labels). Repeated rows stay, an empty table
+gives an empty result, and columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafquarry.llm.blobs import texts_of
 from leafquarry.llm.common import bound_batches, crc_mod, pick
 from leafquarry.llm.toxicity import sample
 
@@ -179,13 +181,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shipped = spark.sparkContext.broadcast(model)
     bound_batches(spark)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features()
-        for texts in batches:
-            yield pd.Series([shipped.value.probability(features.of(t)) for t in texts], dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, model = Features(), shipped.value
+        for batch in batches:
+            found = np.array([model.probability(features.of(t)) for t in texts_of(batch.column(1))], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
 
-    udf = F.pandas_udf(run, "double")
-    return pick(docs, doc_id="doc_id", text="text").select("doc_id", udf(F.col("text")).alias("score"))
+    thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return thin.mapInArrow(run, "doc_id bigint, score double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

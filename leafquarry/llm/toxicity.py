@@ -8,9 +8,11 @@ which is guessed from function words in the text; the score is shifted so that i
 Training takes at most ``most_rows`` labelled rows, chosen by hash (a bounded sample); buckets seen in fewer
 than MIN_ROWS of them have the zero vector. Scoring reads every whole text.
 
-Defined cases: null and empty texts have no words and score what the linear layer's constant gives; null ids
-count as the empty text for the hold-out; without labels of both kinds every score is 0. Rows stay one to one,
-repeated or not, and columns beyond those named are ignored by ``score`` and passed through by ``keep_clean``.
+Defined cases: null and empty texts have no words and score what the linear layer's constant gives; very long texts
+are scored in blocks that overlap by the widest filter, which gives what the whole would; null ids count as the empty
+text for the hold-out; an id labelled twice is toxic if one label says so; without labels of both kinds (or without
+labels) every score is 0. Rows stay one to one, repeated or not, an empty table gives an empty result, and columns
+beyond those named are ignored by ``score`` and passed through by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafquarry.llm.blobs import texts_of
 from leafquarry.llm.common import bound_batches, crc_mod, pick
 from leafquarry.llm.languages import LANGUAGES, STOPWORDS
 
@@ -36,8 +39,8 @@ FILTERS = 8
 MIN_ROWS = 3
 #: Labelled rows that training takes at most.
 MOST_ROWS = 6000
-#: Distinct words a worker remembers before it starts afresh.
-MEMORY = 150_000
+#: Distinct words a worker remembers before it starts afresh; more than a block of a text can hold.
+MEMORY = 60_000
 #: Rows of a language needed for a threshold of its own, and of each kind.
 OWN_THRESHOLD = 40
 WORD = re.compile(r"[^\W_]+")
@@ -96,24 +99,20 @@ class Scorer:
         for k, lang in enumerate(LANGUAGES):
             for w in STOPWORDS[lang]:
                 self.lang.setdefault(w, np.zeros(len(LANGUAGES), np.float32))[k] = 1
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.memory = np.zeros((1024, self.parts.shape[1]), np.float32)
-        self.votes = np.zeros((1024, len(LANGUAGES)), np.float32)
+        self.memory = np.zeros((MEMORY, self.parts.shape[1]), np.float32)  # pages are taken as they are first used
+        self.votes = np.zeros((MEMORY, len(LANGUAGES)), np.float32)
 
     def ids(self, words: list[str]) -> np.ndarray:
         """Places of the words in memory; what is new is looked up at once for all."""
         known = self.known
         new = list(set(words).difference(known))
         if new:
-            if len(known) + len(new) > MEMORY and known:
-                self.forget()
-                return self.ids(words)
+            if len(known) + len(new) > MEMORY:
+                known.clear()
+                new = list(set(words))
             n = len(known)
-            while n + len(new) > len(self.memory):
-                self.memory, self.votes = (np.concatenate((x, np.zeros_like(x))) for x in (self.memory, self.votes))
+            self.votes[n : n + len(new)] = 0
             rows = self.row[np.array([buckets_of(w) for w in new], np.int64)]
             self.memory[n : n + len(new)] = self.parts[rows[:, 0]] + self.parts[rows[:, 1]] + self.parts[rows[:, 2]]
             for k, w in enumerate(new, n):
@@ -258,30 +257,50 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     return train([r.text for r in rows], [int(r.label == 1) for r in rows])
 
 
-def score_udf(spark: SparkSession, model: Model | None):
-    shipped = spark.sparkContext.broadcast(model)
-    bound_batches(spark)
+_held: list[Scorer] = []
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shipped.value) if shipped.value else None
-        for texts in batches:
-            yield pd.Series([scorer.score(t) if scorer else 0.0 for t in texts], dtype="float64")
 
-    return F.pandas_udf(score, "double")
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer of this model; a worker that serves many tasks makes it once."""
+    if not _held or _held[0].model is not model:
+        _held[:] = [Scorer(model)]
+    return _held[0]
+
+
+def scores_of(model: Model | None, texts: pa.Array) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    scorer = scorer_of(model)
+    return np.array([scorer.score(t) for t in texts_of(texts)], np.float64)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score for every row."""
-    udf = score_udf(docs.sparkSession, model)
-    return pick(docs, doc_id="doc_id", text="text").select("doc_id", udf(F.col("text")).alias("score"))
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(model)
+    bound_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(shipped.value, batch.column(1)))], ["doc_id", "score"])
+
+    thin = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return thin.mapInArrow(run, "doc_id bigint, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of docs that score below 0.5, with all their columns."""
-    udf = score_udf(docs.sparkSession, fit(docs, labels, most_rows))
-    names = docs.columns
+    spark, names = docs.sparkSession, docs.columns
+    shipped = spark.sparkContext.broadcast(fit(docs, labels, most_rows))
+    bound_batches(spark)
+    text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(shipped.value, batch.column(text)) < 0.5, pa.bool_()))
+
     placed = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return placed.where(udf(F.col(f"c{names.index('text')}")) < 0.5).toDF(*names)
+    return placed.mapInArrow(run, placed.schema).toDF(*names)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
