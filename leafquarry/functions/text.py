@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
+from html import unescape
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,14 +103,28 @@ def safe_segment(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("sin_valor"))
 
 
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&ntilde;", "ñ"), ("&amp;", "&"))
+#: Character references by name (and the numbers that stand for other characters), from the standard library's tables.
+REFERENCES = {n: chr(p) for n, p in name2codepoint.items()} | {"apos": "'"} | {f"#{n}": unescape(f"&#{n};") for n in range(128, 160)}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});"
 
 
 def unescaped(c: Column) -> Column:
-    """The usual character references, the ampersand last so that nothing is decoded twice."""
-    for letter, marked in zip("aeiou", "áéíóú", strict=True):
-        c = F.replace(c, F.lit(f"&{letter}acute;"), F.lit(marked))
-    return reduce(lambda x, r: F.replace(x, F.lit(r[0]), F.lit(r[1])), ENTITIES, c)
+    """Character references by name, decimal and hexadecimal number; what isn't one stays. Texts without an ampersand pass."""
+    known = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        digits = F.regexp_extract(name, r"^#([0-9]+)$", 1)
+        code = F.coalesce(F.nullif(digits, F.lit("")).cast("bigint"), F.conv(F.nullif(F.regexp_extract(name, r"^#[xX](.+)$", 1), F.lit("")), 16, 10).cast("bigint"))
+        valid = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+        usual = F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+        numbered = F.coalesce(F.element_at(known, F.concat(F.lit("#"), code.cast("string"))), usual, F.lit("\ufffd"))
+        found = F.when(code.isNotNull(), numbered).otherwise(F.element_at(known, name))
+        return F.when(found.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(found, F.substr(piece, F.length(name) + 2)))
+
+    pieces = F.split(c, "&")
+    whole = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:

@@ -19,18 +19,19 @@ c = F.col
 
 
 def base(t: Tables):
-    return t.docs.filter("id < 400").select("id", "hash_md5", "tipo", "numero", "anio", "contenido", "pdf_local", "paginas", "fuente")
+    """Two thirds of the documents; with batch every document, a third of them on both sides."""
+    return t.docs.filter("id % 3 < 2").select("id", "hash_md5", "tipo", "numero", "anio", "contenido", "pdf_local", "paginas", "fuente")
 
 
 def batch(t: Tables):
     """Records of other documents under the same identities, some unchanged, some not valid, some twice."""
-    return t.docs.filter("id BETWEEN 300 AND 699").select(
+    return t.docs.filter("id % 3 > 0").select(
         "hash_md5", "tipo", (c("numero").cast("int") % 100).cast("string").alias("numero"), "anio", F.when(c("id") % 13 > 0, c("contenido")).alias("contenido"), "pdf_local", "paginas", "fuente", c("id").alias("seq")
     )
 
 
-CURRENT = ", cur AS (SELECT hash_md5, tipo, numero, anio, contenido, pdf_local, paginas, fuente FROM docs WHERE id < 400)"
-BATCH = CURRENT + """, b AS (SELECT hash_md5, tipo, CAST(CAST(numero AS INT) % 100 AS VARCHAR) AS numero, anio, CASE WHEN id % 13 > 0 THEN contenido END AS contenido, pdf_local, paginas, fuente, id AS seq FROM docs WHERE id BETWEEN 300 AND 699),
+CURRENT = ", cur AS (SELECT hash_md5, tipo, numero, anio, contenido, pdf_local, paginas, fuente FROM docs WHERE id % 3 < 2)"
+BATCH = CURRENT + """, b AS (SELECT hash_md5, tipo, CAST(CAST(numero AS INT) % 100 AS VARCHAR) AS numero, anio, CASE WHEN id % 13 > 0 THEN contenido END AS contenido, pdf_local, paginas, fuente, id AS seq FROM docs WHERE id % 3 > 0),
  r AS (SELECT *, CASE WHEN trim(coalesce(contenido, '')) = '' THEN 'sin_contenido' WHEN coalesce(hash_md5, '') = '' THEN 'sin_hash' WHEN trim(coalesce(pdf_local, '')) = '' THEN 'sin_pdf' WHEN coalesce(paginas, 0) <= 0 THEN 'sin_paginas' END AS motivo FROM b),
  good AS (SELECT * FROM r WHERE motivo IS NULL)"""
 UPSERT = BATCH + """, named AS (SELECT *, row_number() OVER (PARTITION BY tipo, numero, anio ORDER BY seq DESC) AS n FROM good WHERE tipo NOT IN ('oficio', 'judicial') AND anio IS NOT NULL),
@@ -42,26 +43,6 @@ UPSERT = BATCH + """, named AS (SELECT *, row_number() OVER (PARTITION BY tipo,
  UNION ALL SELECT hash_md5, tipo, numero, anio FROM changed UNION ALL SELECT hash_md5, tipo, numero, anio FROM fresh1 WHERE n = 1"""
 q("k01_reject_reasons", BATCH + " SELECT motivo, count(*) AS cnt FROM r GROUP BY motivo")(lambda t: batch(t).groupBy(ingest.reject_reason().alias("motivo")).agg(F.count(F.lit(1)).alias("cnt")))
 q("k01_upsert", UPSERT)(lambda t: ingest.upserted(base(t), batch(t)).select("hash_md5", "tipo", "numero", "anio"))
-
-
-def whole_base(t: Tables):
-    """Two thirds of the documents; with whole_batch every document, a third of them on both sides."""
-    return t.docs.filter("id % 3 < 2").select("id", "hash_md5", "tipo", "numero", "anio", "contenido", "pdf_local", "paginas", "fuente")
-
-
-def whole_batch(t: Tables):
-    return t.docs.filter("id % 3 > 0").select(
-        "hash_md5", "tipo", (c("numero").cast("int") % 100).cast("string").alias("numero"), "anio", F.when(c("id") % 13 > 0, c("contenido")).alias("contenido"), "pdf_local", "paginas", "fuente", c("id").alias("seq")
-    )
-
-
-def whole(body: str) -> str:
-    """The same statement over sides that grow with the table."""
-    return body.replace("id BETWEEN 300 AND 699", "id % 3 > 0").replace("id < 400", "id % 3 < 2")
-
-
-q("k01_reject_reasons_whole", whole(BATCH) + " SELECT motivo, count(*) AS cnt FROM r GROUP BY motivo")(lambda t: whole_batch(t).groupBy(ingest.reject_reason().alias("motivo")).agg(F.count(F.lit(1)).alias("cnt")))
-q("k01_upsert_whole", whole(UPSERT))(lambda t: ingest.upserted(whole_base(t), whole_batch(t)).select("hash_md5", "tipo", "numero", "anio"))
 q("k02_article_index", "SELECT id AS doc_id, CASE id % 3 WHEN 0 THEN 'LIR' WHEN 1 THEN 'LIVS' ELSE 'CT' END AS ley, CAST(id % 120 + 1 AS VARCHAR) AS articulo FROM docs UNION ALL SELECT id, 'FT', NULL FROM docs")(
     lambda t: index_rows(
         t.docs.select("id", references(c("contenido")).alias("refs"), F.array(F.lit("FT"), F.element_at(F.array(F.lit("LIR"), F.lit("LIVS"), F.lit("CT")), (c("id") % 3 + 1).cast("int"))).alias("leyes")), "id", "leyes", "refs"
@@ -69,11 +50,11 @@ q("k02_article_index", "SELECT id AS doc_id, CASE id % 3 WHEN 0 THEN 'LIR' WHEN
 )
 q("k04_last_write", "SELECT blob, max(id) AS doc_id FROM (SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, id FROM docs) GROUP BY blob")(
     lambda t: ingest.last_write(
-        t.docs.filter("id < 100").select(refs.blob_id(c("url_sii")).alias("blob"), c("id").alias("doc_id")), t.docs.select(refs.blob_id(c("url_sii")).alias("blob"), c("id").alias("doc_id"), c("id").alias("seq")), ["blob"]
+        t.docs.groupBy(refs.blob_id(c("url_sii")).alias("blob")).agg(F.min("id").alias("doc_id")), t.docs.select(refs.blob_id(c("url_sii")).alias("blob"), c("id").alias("doc_id"), c("id").alias("seq")), ["blob"]
     )
 )
-q("k05_court_targets", "SELECT d.id, coalesce(j.doc_id, h.m) AS target, coalesce(j.doc_id, h.m) IS NOT NULL AS existed FROM docs d LEFT JOIN judicial_docs j ON j.sii_id = d.id + 99900 LEFT JOIN (SELECT hash_md5, min(id) AS m FROM docs WHERE id < 500 GROUP BY 1) h USING (hash_md5) WHERE d.tipo = 'judicial'")(
-    lambda t: ingest.court_targets(t.docs.filter("tipo = 'judicial'").select("id", "hash_md5", (c("id") + 99900).alias("sii_id")), t.judicial_docs, t.docs.filter("id < 500")).select("id", "target", "existed")
+q("k05_court_targets", "SELECT d.id, coalesce(j.doc_id, h.m) AS target, coalesce(j.doc_id, h.m) IS NOT NULL AS existed FROM docs d LEFT JOIN judicial_docs j ON j.sii_id = d.id + 99900 LEFT JOIN (SELECT hash_md5, min(id) AS m FROM docs GROUP BY 1) h USING (hash_md5) WHERE d.tipo = 'judicial'")(
+    lambda t: ingest.court_targets(t.docs.filter("tipo = 'judicial'").select("id", "hash_md5", (c("id") + 99900).alias("sii_id")), t.judicial_docs, t.docs).select("id", "target", "existed")
 )
 q("k10_search_record", """SELECT conv_id, turn, '{"tipo":"oficio","anio":"' || CAST(turn AS VARCHAR) || '"}' AS filtros FROM historial""")(
     lambda t: t.historial.select("conv_id", "turn", ingest.search_record(c("termino"), {"tipo": F.lit("oficio"), "anio": c("turn").cast("string")}, c("resultados"))["filtros"].alias("filtros"))
@@ -97,12 +78,7 @@ q("r08_analysis", r"""SELECT id AS doc_id, CASE WHEN id % 4 = 0 THEN 'ready' WHE
         "doc_id", "status", F.when(c("summary_short") == "guardado", c("summary_short")).alias("guardado")
     )
 )
-q("w02_outcomes", """, k AS (SELECT * FROM docs WHERE id < 500), b AS (SELECT * FROM docs WHERE id >= 300)
-   SELECT id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.tipo = b.tipo AND k.numero = b.numero AND k.anio = b.anio) THEN 'identidad' WHEN url_sii IN (SELECT url_sii FROM k) THEN 'url'
-     WHEN hash_md5 IN (SELECT hash_md5 FROM k) THEN 'hash' WHEN id <> min(id) OVER (PARTITION BY hash_md5) THEN 'repetido' ELSE 'nuevo' END AS outcome FROM b""")(
-    lambda t: classify_new(t.docs.filter("id >= 300").withColumn("seq", c("id")), t.docs.filter("id < 500")).select("id", "outcome")
-)
-q("w02_outcomes_whole", """, k AS (SELECT * FROM docs WHERE id % 3 < 2), b AS (SELECT * FROM docs WHERE id % 3 > 0)
+q("w02_outcomes", """, k AS (SELECT * FROM docs WHERE id % 3 < 2), b AS (SELECT * FROM docs WHERE id % 3 > 0)
    SELECT id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.tipo = b.tipo AND k.numero = b.numero AND k.anio = b.anio) THEN 'identidad' WHEN url_sii IN (SELECT url_sii FROM k) THEN 'url'
      WHEN hash_md5 IN (SELECT hash_md5 FROM k) THEN 'hash' WHEN id <> min(id) OVER (PARTITION BY hash_md5) THEN 'repetido' ELSE 'nuevo' END AS outcome FROM b""")(
     lambda t: classify_new(t.docs.filter("id % 3 > 0").withColumn("seq", c("id")), t.docs.filter("id % 3 < 2")).select("id", "outcome")

@@ -91,12 +91,7 @@ q("k08_analysis_upsert", "SELECT id AS doc_id, CASE WHEN id % 2 = 0 THEN 'ready'
 q("k11_settings", "SELECT k AS key, v AS value FROM (VALUES ('hora', '09:00'), ('activo', '1')) s(k, v)")(
     lambda t: ingest.last_write(t.spark.createDataFrame([("hora", "08:00"), ("activo", "1")], "key string, value string"), t.spark.createDataFrame([("hora", "08:30", 1), ("hora", "09:00", 2)], "key string, value string, seq int"), ["key"])
 )
-q("k14_manual", "SELECT id, coalesce(nullif(CASE WHEN id % 2 = 0 THEN referencia END, ''), 'Manual - ' || titulo) AS referencia, CAST(greatest(1, ceil(length(contenido) / 2800)) AS INT) AS paginas, CASE WHEN id % 2 = 0 THEN 'CT,LIR' ELSE 'FT' END AS leyes FROM docs WHERE id % 5 = 0")(
-    lambda t: (
-        lambda m: t.docs.filter("id % 5 = 0").withColumn("cuerpo", c("contenido")).select("id", m["referencia"].alias("referencia"), m["paginas"].alias("paginas"), F.array_join(m["leyes"], ",").alias("leyes"))
-    )(records.manual_record({"titulo": c("titulo"), "contenido": c("contenido"), "referencia": F.when(c("id") % 2 == 0, c("referencia")), "leyes": F.when(c("id") % 2 == 0, '["lir","ct"]').otherwise('["FT"]')}))
-)
-q("k14_manual_whole", "SELECT id, coalesce(nullif(CASE WHEN id % 2 = 0 THEN referencia END, ''), 'Manual - ' || titulo) AS referencia, CAST(greatest(1, ceil(length(contenido) / 2800)) AS INT) AS paginas, CASE WHEN id % 2 = 0 THEN 'CT,LIR' ELSE 'FT' END AS leyes FROM docs")(
+q("k14_manual", "SELECT id, coalesce(nullif(CASE WHEN id % 2 = 0 THEN referencia END, ''), 'Manual - ' || titulo) AS referencia, CAST(greatest(1, ceil(length(contenido) / 2800)) AS INT) AS paginas, CASE WHEN id % 2 = 0 THEN 'CT,LIR' ELSE 'FT' END AS leyes FROM docs")(
     lambda t: (
         lambda m: t.docs.select("id", m["referencia"].alias("referencia"), m["paginas"].alias("paginas"), F.array_join(m["leyes"], ",").alias("leyes"))
     )(records.manual_record({"titulo": c("titulo"), "contenido": c("contenido"), "referencia": F.when(c("id") % 2 == 0, c("referencia")), "leyes": F.when(c("id") % 2 == 0, '["lir","ct"]').otherwise('["FT"]')}))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+#: By name: rows of (*arguments, result) and the function of Columns; tests evaluate them.
+CASES: dict[str, tuple[list[tuple], Callable]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -28,23 +28,16 @@ q("s01_scan", "SELECT id, hash_md5, tipo, anio FROM docs")(lambda t: t.docs.sele
 q("s02_lookup", "SELECT id, hash_md5 FROM docs WHERE hash_md5 = (SELECT hash_md5 FROM docs WHERE id = 7) ORDER BY id LIMIT 1")(
     lambda t: src.lookup(t.docs.join(t.docs.filter("id = 7").select("hash_md5"), "hash_md5", "left_semi").withColumn("one", F.lit(1)), "one", 1).select("id", "hash_md5")
 )
-q("s02_known_hashes", "SELECT DISTINCT md5(text) AS hash_md5, FALSE AS nuevo FROM documents WHERE doc_id % 3 = 0 AND md5(text) IN (SELECT hash_md5 FROM docs WHERE id % 2 = 0)")(
-    lambda t: src.known(t.docs.filter("id % 2 = 0"), t.docs.filter("id % 3 = 0").select("hash_md5").distinct(), ["hash_md5"]).withColumn("nuevo", F.lit(False))
-)
-q("s02_unknown_urls", "SELECT url_sii FROM docs WHERE id % 5 = 0 AND url_sii NOT IN (SELECT url_sii FROM docs WHERE id % 2 = 0)")(
-    lambda t: src.known(t.docs.filter("id % 2 = 0"), t.docs.filter("id % 5 = 0").select("url_sii"), ["url_sii"], wanted=False)
-)
-q("s02_known_hashes_whole", "SELECT DISTINCT md5(text) AS hash_md5, FALSE AS nuevo FROM documents WHERE md5(text) IN (SELECT hash_md5 FROM docs WHERE id % 2 = 0)")(
+q("s02_known_hashes", "SELECT DISTINCT md5(text) AS hash_md5, FALSE AS nuevo FROM documents WHERE md5(text) IN (SELECT hash_md5 FROM docs WHERE id % 2 = 0)")(
     lambda t: src.known(t.docs.filter("id % 2 = 0"), t.docs.select("hash_md5").distinct(), ["hash_md5"]).withColumn("nuevo", F.lit(False))
 )
-q("s02_unknown_urls_whole", "SELECT url_sii FROM docs WHERE url_sii NOT IN (SELECT url_sii FROM docs WHERE id % 2 = 0)")(
+q("s02_unknown_urls", "SELECT url_sii FROM docs WHERE url_sii NOT IN (SELECT url_sii FROM docs WHERE id % 2 = 0)")(
     lambda t: src.known(t.docs.filter("id % 2 = 0"), t.docs.select("url_sii"), ["url_sii"], wanted=False)
 )
 q("s03_identity", "SELECT event_id FROM scraper_log l WHERE EXISTS (SELECT 1 FROM docs d WHERE d.tipo = split_part(l.tipo, '_', 1) AND d.numero = l.numero AND d.anio = l.anio)")(
     lambda t: src.known(t.docs, t.scraper_log.withColumn("tipo", src.base_type(c("tipo"))), ["tipo", "numero", "anio"]).select("event_id")
 )
-q("s22_s23_common_columns", "SELECT id, tipo FROM docs WHERE id < 50")(lambda t: src.common_columns(t.docs, t.docs.filter("id < 50").select("tipo", "id", F.lit(1).alias("otra"))))
-q("s22_s23_common_columns_whole", "SELECT id, tipo FROM docs")(lambda t: src.common_columns(t.docs, t.docs.select("tipo", "id", F.lit(1).alias("otra"))))
+q("s22_s23_common_columns", "SELECT id, tipo FROM docs")(lambda t: src.common_columns(t.docs, t.docs.select("tipo", "id", F.lit(1).alias("otra"))))
 q("s25_documents_with_side_table", "SELECT d.id, d.tipo, d.anio, d.numero, j.sii_id, j.pdf_local AS pdf FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id")(
     lambda t: t.docs.join(t.judicial_docs.select(c("doc_id").alias("id"), "sii_id", c("pdf_local").alias("pdf")), "id", "left").select("id", "tipo", "anio", "numero", "sii_id", "pdf").orderBy("tipo", "anio", "numero", "id")
 )
@@ -133,12 +126,7 @@ q("j13_semi", "SELECT id FROM caso_notas WHERE doc_id IS NULL OR doc_id IN (SELE
 q("j14_judicial", "SELECT j.sii_id, d.anio, j.corte FROM judicial_docs j JOIN docs d ON d.id = j.doc_id WHERE d.anio >= 2015")(
     lambda t: t.docs.filter("anio >= 2015").join(t.judicial_docs, c("id") == c("doc_id")).select("sii_id", "anio", "corte")
 )
-q("j15_overlay", """SELECT blob, max_by(id, pr * 1000000 + id) AS id FROM (SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS pr FROM docs WHERE id % 3 <> 0) GROUP BY blob""")(
-    lambda t: op.latest_by(
-        t.docs.filter("id % 3 <> 0").select(refs.blob_id(c("url_sii")).alias("blob"), "id", (c("id") % 2 == 0).alias("pr")), ["blob"], [c("pr").desc(), c("id").desc()]
-    ).select("blob", "id")
-)
-q("j15_overlay_whole", """SELECT blob, max_by(id, (pr, id)) AS id FROM (SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS pr FROM docs) GROUP BY blob""")(
+q("j15_overlay", """SELECT blob, max_by(id, (pr, id)) AS id FROM (SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS pr FROM docs) GROUP BY blob""")(
     lambda t: op.latest_by(t.docs.select(refs.blob_id(c("url_sii")).alias("blob"), "id", (c("id") % 2 == 0).alias("pr")), ["blob"], [c("pr").desc(), c("id").desc()]).select("blob", "id")
 )
 q("j16_missing_blobs", """SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, min(id) AS id, array_to_string(list_sort(list(DISTINCT tipo)), ' / ') AS tipos FROM docs
@@ -233,8 +221,7 @@ q("o10_law_order", "SELECT doc_id, array_to_string(list_filter(['CT', 'LIR', 'LI
 )
 q("o11_newest_ids", "SELECT id FROM docs WHERE tipo = 'judicial' ORDER BY anio DESC NULLS LAST, id LIMIT 25")(lambda t: t.docs.filter("tipo = 'judicial'").orderBy(c("anio").desc_nulls_last(), "id").limit(25).select("id"))
 
-q("u01_union", "SELECT id FROM docs WHERE id % 3 = 0 UNION SELECT doc_id FROM labels")(lambda t: t.docs.filter("id % 3 = 0").select("id").union(t.raw("labels").select("doc_id")).distinct())
-q("u01_union_whole", "SELECT id FROM docs UNION SELECT doc_id FROM labels")(lambda t: t.docs.select("id").union(t.raw("labels").select("doc_id")).distinct())
+q("u01_union", "SELECT id FROM docs UNION SELECT doc_id FROM labels")(lambda t: t.docs.select("id").union(t.raw("labels").select("doc_id")).distinct())
 q("u02_difference", "SELECT id FROM docs EXCEPT SELECT doc_id FROM labels")(lambda t: t.docs.select("id").join(t.raw("labels").select(c("doc_id").alias("id")), "id", "left_anti"))
 q("u03_either", "SELECT id FROM docs WHERE id IN (SELECT doc_id FROM labels) OR anio BETWEEN 2000 AND 2001")(
     lambda t: t.docs.join(t.raw("labels").select(c("doc_id").alias("l")).distinct(), c("id") == c("l"), "left").filter("l IS NOT NULL OR anio BETWEEN 2000 AND 2001").select("id")

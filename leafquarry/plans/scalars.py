@@ -1,4 +1,4 @@
-"""Queries over the scalar functions: on the corpus where SQL has the same operations, else on stated cases."""
+"""Queries over the scalar functions: on the corpus where SQL has the same operations, else on stated cases (tests)."""
 
 from __future__ import annotations
 
@@ -10,31 +10,15 @@ from pyspark.sql import functions as F
 from leafquarry.functions import dates, refs, text
 from leafquarry.operators.resolver import resolved
 from leafquarry.plans.domain import Tables, sql
-from leafquarry.plans.registry import query
+from leafquarry.plans.registry import CASES, query
 
 #: A white-space class, letters and marks for DuckDB.
 FOLD = "strip_accents(replace(replace({}, 'º', 'o'), '°', 'o'))"
 
 
-def literal(x: str | int | None) -> str:
-    if x is None:
-        return "NULL"
-    return str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-
 def cases(name: str, rows: list[tuple], f: Callable[..., Column]) -> None:
-    """A query of f over stated arguments, whose oracle states the results: each row is (*arguments, result)."""
-    width = len(rows[0]) - 1
-    names = [f"a{k}" for k in range(width)]
-    kinds = ["bigint" if any(isinstance(r[k], int) for r in rows) else "string" for k in range(width)]
-    stated = ", ".join("(" + ", ".join(map(literal, (n, *r))) + ")" for n, r in enumerate(rows))
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        frame = spark.createDataFrame([(n, *r[:width]) for n, r in enumerate(rows)], "n bigint, " + ", ".join(f"{a} {t}" for a, t in zip(names, kinds, strict=True)))
-        return frame.select(F.col("n").cast("int").alias("n"), f(*map(F.col, names)).cast("string").alias("result"))
-
-    result = "result" if any(r[-1] is not None for r in rows) else "CAST(result AS VARCHAR)"
-    query(name, f"SELECT CAST(n AS INT) AS n, {result} AS result FROM (VALUES {stated}) t(n, {', '.join(names)}, result)")(run)
+    """Stated arguments and results of f, for tests; the query of this name reads tables (see over_tables)."""
+    CASES[name] = rows, f
 
 
 def on_docs(name: str, columns: dict[str, Callable[[], Column]], body: str) -> None:
