@@ -49,10 +49,13 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage so that a lost executor costs no recomputation."""
+def written(df: DataFrame, tag: str, thin: bool = False) -> DataFrame:
+    """df, written to the shared folder and read back: cuts the lineage so that a lost executor costs no recomputation.
+    What a shuffle left as thin rows goes to a few files for each core, not one for each shuffle partition."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
+    if thin:
+        df = df.coalesce(max(16, 4 * spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -307,7 +307,7 @@ def train(texts: DataFrame) -> Model:
     """texts: one binary column. Two passes over it, then sums of what they wrote."""
     spark = texts.sparkSession
     bound_batches(spark, 4 << 20)
-    counted = written(unigrams(texts), "unigrams")
+    counted = written(unigrams(texts), "unigrams", thin=True)
     tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(4, (tokens // PER_BUCKET).bit_length())
     if not tokens:
@@ -316,7 +316,7 @@ def train(texts: DataFrame) -> Model:
     folder = pair_files(texts, hot, bits)
     release(spark)
     words, of_pairs = word_rows(spark, folder, counted)
-    words = written(words, "word-statistics")
+    words = written(words, "word-statistics", thin=True)
     release(spark)
     named = [F.count_if(F.col("continued") == k) for k in (1, 2, 3, 4)]
     *below, more, distinct_pairs = words.agg(*named, F.count_if(F.col("continued") >= 3), F.coalesce(F.sum("continued"), F.lit(0))).first()
