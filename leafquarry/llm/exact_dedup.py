@@ -87,7 +87,7 @@ class DigestIndex:
             )
         )
         # written, as Spark would else join before it groups, and a large group of copies would meet in one task
-        groups = written(thin.groupBy("digest").agg(best.alias("b")), "digest-groups")
+        groups = written(thin.groupBy("digest").agg(best.alias("b")), "digest-groups", thin=True)
         fresh = groups.join(self.spark.table(self.table).select("digest").hint("merge"), "digest", "left_anti")
         fresh.select(
             "digest",
@@ -108,7 +108,7 @@ def labelled(thin: DataFrame, index: DigestIndex, batches: list[str]) -> DataFra
     """One row per document of thin: doc_id, keep_id, group_size, kept, text_sha256. A digest with a large group is
     met by broadcast (see ``met``), so no task gets a whole group."""
     groups = thin.groupBy("digest").agg(F.sum("n_tied").cast("bigint").alias("group_size"), F.count(F.lit(1)).alias("weight"))
-    groups = written(groups.join(index.rows(), "digest"), "digest-groups")
+    groups = written(groups.join(index.rows(), "digest"), "digest-groups", thin=True)
     chosen = met(thin, groups, ["digest"], "weight")
     is_keeper = (
         F.col("batch").isin(batches) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))
@@ -129,14 +129,14 @@ def classify(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     group_size counts the rows of docs with that text. A text that an earlier batch brought into the index keeps
     that batch's document, and all of this batch's rows with it are dropped."""
-    thin = written(digests(docs), "digests")
+    thin = written(digests(docs), "digests", thin=True)
     return labelled(thin, index, [index.add(thin)])
 
 
 def classify_whole(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """As ``classify``, but docs enter the index in two batches, the longer texts first: of equal texts the
     longest is then in the first batch that has any, so the second batch needs no look back."""
-    thin = written(digests(docs), "digests")
+    thin = written(digests(docs), "digests", thin=True)
     cut = thin.agg(F.avg("n_points")).first()[0] or 0.0
     return labelled(thin, index, [index.add(thin.where(F.col("n_points") >= cut)), index.add(thin.where(F.col("n_points") < cut))])
 
@@ -146,7 +146,7 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
     The semi join is on document, length and digest, so a hot group of copies is spread. Only where a
     keeper is itself repeated (same doc_id and text) are those rows reduced to one by a second branch."""
-    thin = written(digests(docs), "digests")
+    thin = written(digests(docs), "digests", thin=True)
     batch = index.add(thin)
     mine = index.rows().where(F.col("batch") == batch)
     names = docs.columns

@@ -306,15 +306,15 @@ def verified_forest(a: Tile, b: Tile | None, radius: int, least: tuple[int, int]
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of each node's component, for the nodes of the edges. Large-star and
     small-star rounds (Kiveris et al. 2014) until nothing changes; nodes with many links are met by broadcast (``met``)."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", thin=True)
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("d")), "lowest")
-        large = written(met(both, low, ["a"], "d").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d")), "lowest")
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("d")), "lowest", thin=True)
+        large = written(met(both, low, ["a"], "d").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", thin=True)
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("d")), "lowest", thin=True)
         small = met(large, low, ["a"], "d").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        edges = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
+        edges = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges", thin=True)
         new = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if new == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -326,7 +326,7 @@ def grouped(prints: DataFrame, radius: int, words: int) -> tuple[DataFrame, list
     keys = [f"f{k}" for k in range(words)]
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t"))
     nodes = prints.groupBy(*keys).agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
-    nodes = written(nodes.withColumn("nid", F.col("f0") if words == 1 else F.xxhash64(*keys)), "nodes")
+    nodes = written(nodes.withColumn("nid", F.col("f0") if words == 1 else F.xxhash64(*keys)), "nodes", thin=True)
     found = components(links(nodes.select("nid", *keys), radius, words))
     return nodes.join(found, nodes["nid"] == found["node"], "left").select(*keys, "best", "copies", F.coalesce("root", "nid").alias("root")), keys
 
@@ -364,8 +364,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 72
     prints = set_prints(docs, shingle, words)
     keys = [f"f{k}" for k in range(words)]
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t"))
-    nodes = written(prints.groupBy("nid").agg(best.alias("best"), F.min("row").alias("row")), "nodes")
-    others = written(prints.select("row").join(nodes.select("row"), "row", "left_anti"), "repeated")
+    nodes = written(prints.groupBy("nid").agg(best.alias("best"), F.min("row").alias("row")), "nodes", thin=True)
+    others = written(prints.select("row").join(nodes.select("row"), "row", "left_anti"), "repeated", thin=True)
     single = prints.select("row", "nid", "n", *keys, "h").join(others, "row", "left_anti")
     step = np.log(1.08)
     span = int(np.log(least[1] / least[0]) / step) + 1
@@ -387,9 +387,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     """doc_id, fingerprint, component_id for every row of docs, by 64-bit fingerprints."""
     prints = fingerprints(docs, shingle, 1)
     nodes, keys = grouped(prints, radius, 1)
-    nodes = written(nodes, "components")
+    nodes = written(nodes, "components", thin=True)
     names = nodes.groupBy("root").agg(F.min("best").alias("k"), F.count(F.lit(1)).alias("size")).select("root", F.col("k.doc_id").alias("component_id"), "size")
-    classes = written(met(nodes, written(names, "component-names"), ["root"], "size").select("f0", "component_id", "copies"), "classes")
+    classes = written(met(nodes, written(names, "component-names", thin=True), ["root"], "size").select("f0", "component_id", "copies"), "classes", thin=True)
     return met(prints, classes, ["f0"], "copies").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
