@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before kept, which is written as Parquet and read again. All but the last return
 the columns of documents: the first three drop rows, the mix drops or repeats rows as its targets ask.
+
+Defined cases: a null text counts as empty, is clean, a copy of every other empty text (the one with the smallest id stays)
+and never taken by the mix; null ids rank last among copies; a null source is a source of its own; repeated rows are copies; very long
+texts are read whole; an empty table gives an empty result; columns beyond those of documents pass through every stage but the last.
 """
 
 from __future__ import annotations
