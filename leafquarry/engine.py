@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from leafquarry.functions import refs, text
 from leafquarry.operators import catalog, ingest, retrieval
 from leafquarry.operators.catalog import Search
 
-FIELDS = ("titulo", "materia", "subtema", "contenido", "resumen", "palabras_clave")
+FIELDS = ("titulo", "materia", "subtema", "contenido", "resumen", "palabras_clave", "leyes_citadas", "articulos_clave")
 
 
 class Engine:
@@ -29,24 +30,23 @@ class Engine:
         return cls(spark, *[spark.read.parquet(f"{folder}/{n}") for n in ("docs", "articulos_idx", "judicial_docs", "judicial_relaciones")])
 
     @cached_property
-    def postings(self) -> DataFrame:
-        return retrieval.postings(self.docs, self.fields)
-
-    @cached_property
-    def lengths(self) -> DataFrame:
-        return retrieval.lengths(self.docs, self.fields)
+    def scorer(self) -> retrieval.Scan | retrieval.Stored:
+        """One pass over the texts for each question, until there are stored postings."""
+        return retrieval.Scan(self.docs, tuple(self.fields))
 
     def use_postings(self, path: str, rebuild: bool = False) -> Engine:
-        """Keeps the postings on disk, sorted by term so that a question's terms prune row groups."""
+        """Keeps the postings on disk, sorted by term so that a question's terms prune row groups. Documents are dealt
+        within a term too, so that a frequent one doesn't fill a partition."""
         if rebuild:
-            self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-            self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        self.postings, self.lengths = (self.spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths"))
+            made = retrieval.postings(self.docs, self.fields)
+            made.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+            retrieval.lengths(self.docs, self.fields).write.mode("overwrite").parquet(f"{path}/lengths")
+        self.scorer = retrieval.Stored(*[self.spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths")])
         return self
 
     def matches(self, s: Search) -> DataFrame:
         """All documents of a search, in no order."""
-        docs = retrieval.candidates(self.docs, self.postings, self.lengths, s.text) if s.text else self.docs.withColumn("rank", F.lit(None).cast("double"))
+        docs = retrieval.candidates(self.docs, self.scorer, s.text) if s.text else self.docs.withColumn("rank", F.lit(None).cast("double"))
         return catalog.filtered(docs, self.index, self.judicial, self.relations, s)
 
     def search(self, s: Search, page: int = 1) -> DataFrame:
@@ -97,11 +97,11 @@ class Engine:
         for name in ("leyes_citadas", "articulos_clave"):
             if name not in docs.columns:
                 docs = docs.withColumn(name, F.lit("[]"))
-        return retrieval.context(docs, self.postings, self.lengths, question)
+        return retrieval.context(docs, self.scorer, question)
 
-    def ask(self, question: str, s: Search | None = None) -> DataFrame:
-        """R06, without a hosted model."""
-        return retrieval.answer(self.context(question, s), question)
+    def ask(self, question: str, s: Search | None = None, model: Callable[[str, str], str] | None = None) -> DataFrame:
+        """R06; the caller's model, if any, gets the question and the packed context."""
+        return retrieval.answer(self.context(question, s), question, model)
 
     def analyse(self, known: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         """R08."""

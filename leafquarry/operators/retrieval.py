@@ -1,18 +1,24 @@
-"""Full-text retrieval over postings (R01-R08): positions of terms, BM25, filters, fragments, packed contexts.
+"""Full-text retrieval (R01-R08): BM25 over stored postings or in one pass over the texts, filters, fragments, packed contexts.
 
 Postings are (doc_id, field, pos, term) rows; a ranking reads only the question's few terms from them, which reach the scan as
-a filter, so store them partitioned or sorted by term. Document statistics are one row a document."""
+a filter, so store them partitioned or sorted by term. Document statistics are one row a document. ``Stored`` ranks by
+these; ``Scan`` counts a question's phrases in the texts themselves, which shuffles nothing. A ranking is computed once and
+kept; whole texts are fetched for the few documents that it chose."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafquarry.functions.text import relevance, strip, unmarked
 from leafquarry.operators.catalog import any_contains
+from leafquarry.sources.tables import kept
 
 K1, B = 1.2, 0.75
 #: Hits that a search looks at, documents and characters of a context, characters of a fragment.
@@ -102,18 +108,63 @@ def bm25(index: DataFrame, stats: DataFrame, phrases: tuple[tuple[str, ...], ...
     return scored.groupBy("doc_id").agg((-F.sum(part)).alias("rank"))
 
 
-def ranked(index: DataFrame, stats: DataFrame, question: str, most: int = CANDIDATES) -> DataFrame:
-    """The best documents of a question."""
-    return bm25(index, stats, parse(question).phrases).orderBy(F.round("rank", 9), "doc_id").limit(most)
+@dataclass(frozen=True)
+class Stored:
+    """Ranks by postings and lengths that exist as tables."""
+
+    index: DataFrame
+    stats: DataFrame
+
+    def scores(self, phrases: tuple[tuple[str, ...], ...]) -> DataFrame:
+        return bm25(self.index, self.stats, phrases)
+
+
+WORD = r"[\p{L}\p{N}]"
+
+
+def pattern(phrase: tuple[str, ...]) -> str:
+    """Matches a phrase's first term where the others follow; these are looked at only, so matches may overlap."""
+    first, *others = phrase
+    ahead = "".join(rf"[^\p{{L}}\p{{N}}]+{t}(?!{WORD})" for t in others)
+    return rf"(?<!{WORD}){first}(?!{WORD})" + (f"(?={ahead})" if ahead else "")
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Ranks in one pass over the fields of docs: counts of the phrases and of all terms, as thin rows that are kept."""
+
+    docs: DataFrame
+    fields: tuple[str, ...]
+
+    def scores(self, phrases: tuple[tuple[str, ...], ...]) -> DataFrame:
+        plain = [unmarked(F.lower(F.coalesce(F.col(f), F.lit("")))) for f in self.fields]
+
+        def count(p: str) -> Column:
+            return reduce(lambda x, y: x + y, [F.regexp_count(t, F.lit(p)) for t in plain])
+
+        thin = self.docs.select(F.col("id").alias("doc_id"), count(f"{WORD}+").alias("dl"), *[count(pattern(p)).alias(f"tf{k}") for k, p in enumerate(phrases)])
+        thin = kept(thin, "hits")
+        n, mean, *df = thin.agg(F.count(F.lit(1)), F.avg("dl"), *[F.count_if(F.col(f"tf{k}") > 0) for k in range(len(phrases))]).first()
+        part = F.lit(0.0)
+        for k, found in enumerate(df):
+            tf = F.col(f"tf{k}")
+            idf = max(math.log((n - found + 0.5) / (found + 0.5)), 1e-6)
+            part = part + F.when(tf > 0, F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(mean or 1.0)))).otherwise(0.0)
+        any_hit = reduce(lambda x, y: x | y, [F.col(f"tf{k}") > 0 for k in range(len(df))])
+        return thin.where(any_hit).select("doc_id", (-part).alias("rank"))
 
 
-def candidates(docs: DataFrame, index: DataFrame, stats: DataFrame, question: str, most: int = CANDIDATES) -> DataFrame:
-    """The documents of the best hits; of a text that is no valid match or has no hits, those that contain it.
+def ranked(scorer: Stored | Scan, question: str, most: int = CANDIDATES) -> DataFrame:
+    """The best documents of a question, kept."""
+    return kept(scorer.scores(parse(question).phrases).orderBy(F.round("rank", 9), "doc_id").limit(most), "ranking")
 
-    The choice needs to know whether there are hits: one count of at most one row."""
+
+def candidates(docs: DataFrame, scorer: Stored | Scan, question: str, most: int = CANDIDATES) -> DataFrame:
+    """The documents of the best hits (at most ``most``, so they are broadcast); of a text that is no valid match or
+    has no hits, those that contain it."""
     parsed = parse(question)
     if parsed.valid and parsed.phrases:
-        best = ranked(index, stats, question, most)
+        best = ranked(scorer, question, most)
         if not best.isEmpty():
             return docs.join(F.broadcast(best.select(F.col("doc_id").alias("id"), "rank")), "id")
     return docs.filter(any_contains(question, "titulo", "contenido", "palabras_clave", "resumen")).withColumn("rank", F.lit(None).cast("double"))
@@ -146,13 +197,14 @@ def packed(best: DataFrame, question: str, most_chars: int = MOST_CHARS) -> Data
     return rows.select("place", "id", "tipo", F.col("ref").alias("referencia"), "extracto", relevance(F.col("rank")).alias("relevancia"), "bloque", "upto")
 
 
-def context(docs: DataFrame, index: DataFrame, stats: DataFrame, question: str, most: int = MOST_DOCS, most_chars: int = MOST_CHARS) -> DataFrame:
-    """Docs are filtered before the ranking; a text that is no valid match falls back to containment."""
+def context(docs: DataFrame, scorer: Stored | Scan, question: str, most: int = MOST_DOCS, most_chars: int = MOST_CHARS) -> DataFrame:
+    """Docs are filtered before the ranking; a text that is no valid match falls back to containment. Ids are
+    ranked first, and texts fetched for ``most`` of them."""
     parsed = parse(question)
     if parsed.valid and parsed.phrases:
-        own = bm25(index, stats, parsed.phrases)
-        best = docs.join(own.withColumnRenamed("doc_id", "id"), "id").orderBy(F.round("rank", 9), "id").limit(most)
-        order = [F.round("rank", 9), F.col("id")]
+        own = scorer.scores(parsed.phrases).withColumnRenamed("doc_id", "id")
+        ids = kept(docs.select("id").join(own, "id").orderBy(F.round("rank", 9), "id").limit(most), "ranking")
+        best, order = docs.join(F.broadcast(ids), "id"), [F.round("rank", 9), F.col("id")]
     else:
         best = docs.filter(any_contains(question.strip(), "titulo", "resumen", "contenido")).withColumn("rank", F.lit(1000.0))
         order = [F.col("fecha").desc_nulls_last(), F.col("id").desc()]
@@ -160,15 +212,28 @@ def context(docs: DataFrame, index: DataFrame, stats: DataFrame, question: str,
     return packed(best.withColumn("place", F.row_number().over(Window.orderBy(*order))), question, most_chars)
 
 
-def answer(sources: DataFrame, question: str) -> DataFrame:
-    """One row: the answer without a hosted model, with its sources' context and confidence."""
+def answer(sources: DataFrame, question: str, model: Callable[[str, str], str] | None = None) -> DataFrame:
+    """One row: the answer, with its sources' context and confidence.
+
+    ``model`` takes the question and the context (a budget's worth of text) and returns the answer; it is called at most
+    once, on the driver. Without it, or where it fails, the answer says so and the sources stay."""
     asked = bool((question or "").strip())
-    n = F.col("fuentes")
     got = sources.agg(F.count(F.lit(1)).alias("fuentes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "bloque"))), lambda r: r["bloque"]), "\n").alias("contexto"))
+    said, note = "Encontré documentos relevantes, pero no tengo salida del modelo disponible en este entorno.", "Se devolvieron solo las fuentes encontradas."
+    sure = "media"
+    if model is not None and asked:
+        got = kept(got, "context")
+        row = got.first()
+        if row.fuentes:
+            try:
+                said, note, sure = model(question, row.contexto), "", "alta"
+            except Exception as e:
+                note = f"El modelo no respondió ({type(e).__name__}). {note}"
+    n = F.col("fuentes")
     return got.select(
-        F.when(n == 0, "No encontré base suficiente en el corpus para afirmar esto.").otherwise("Encontré documentos relevantes, pero no tengo salida del modelo disponible en este entorno.").alias("respuesta"),
-        F.when(n == 0, "baja").otherwise("media").alias("confianza"),
-        F.when(F.lit(not asked), "Debes ingresar una pregunta.").when(n == 0, "No encontré documentos relevantes para construir evidencia.").otherwise("Se devolvieron solo las fuentes encontradas.").alias("nota"),
+        F.when(n == 0, "No encontré base suficiente en el corpus para afirmar esto.").otherwise(said).alias("respuesta"),
+        F.when(n == 0, "baja").otherwise(sure).alias("confianza"),
+        F.when(F.lit(not asked), "Debes ingresar una pregunta.").when(n == 0, "No encontré documentos relevantes para construir evidencia.").otherwise(note).alias("nota"),
         "fuentes",
         "contexto",
     )

@@ -10,14 +10,16 @@ from leafquarry.operators import retrieval as rt
 from leafquarry.plans.domain import Tables
 from leafquarry.plans.relational import q
 
-FIELDS = ["titulo", "contenido", "resumen", "palabras_clave"]
+FIELDS = ["titulo", "materia", "subtema", "contenido", "resumen", "palabras_clave", "leyes_citadas", "articulos_clave"]
 QUESTION = "thing LIR of-the pathetic and"
 
 TERMS = "regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}]+')"
+LAW = "CASE id % 3 WHEN 0 THEN 'LIR' WHEN 1 THEN 'LIVS' ELSE 'CT' END"
+FULL = f""", full_docs AS (SELECT *, '["' || {LAW} || '"]' AS leyes_citadas, '[{{"cuerpo":"' || {LAW} || '","articulo":"' || CAST(id % 120 + 1 AS VARCHAR) || '"}}]' AS articulos_clave FROM docs)"""
 POSTINGS = (
-    ", toks AS ("
-    + " UNION ALL ".join(f"SELECT id AS doc_id, '{f}' AS field, t.term, CAST(t.pos - 1 AS INT) AS pos FROM docs, unnest({TERMS.format(f)}) WITH ORDINALITY AS t(term, pos)" for f in FIELDS)
-    + "), stats AS (SELECT id AS doc_id, " + " + ".join(f"len({TERMS.format(f)})" for f in FIELDS) + " AS dl FROM docs)"
+    FULL + ", toks AS ("
+    + " UNION ALL ".join(f"SELECT id AS doc_id, '{f}' AS field, t.term, CAST(t.pos - 1 AS INT) AS pos FROM full_docs, unnest({TERMS.format(f)}) WITH ORDINALITY AS t(term, pos)" for f in FIELDS)
+    + "), stats AS (SELECT id AS doc_id, " + " + ".join(f"len({TERMS.format(f)})" for f in FIELDS) + " AS dl FROM full_docs)"
 )
 HITS = """, hits AS (SELECT doc_id, CASE term WHEN 'thing' THEN 0 WHEN 'lir' THEN 1 WHEN 'pathetic' THEN 3 ELSE 4 END AS phrase, count(*) AS tf FROM toks WHERE term IN ('thing', 'lir', 'pathetic', 'and') GROUP BY 1, 2
    UNION ALL SELECT a.doc_id, 2, count(*) FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1),
@@ -25,54 +27,67 @@ HITS = """, hits AS (SELECT doc_id, CASE term WHEN 'thing' THEN 0 WHEN 'lir' THE
  scored AS (SELECT doc_id, -sum(idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / (SELECT avg(dl) FROM stats)))) AS rank FROM hits JOIN w USING (phrase) JOIN stats USING (doc_id) GROUP BY doc_id)"""
 
 
-def index(t: Tables):
-    return rt.postings(t.docs, FIELDS), rt.lengths(t.docs, FIELDS)
+def full(t: Tables):
+    """Documents with the laws and articles that their first sentence cites."""
+    law = F.element_at(F.array(F.lit("LIR"), F.lit("LIVS"), F.lit("CT")), (c("id") % 3 + 1).cast("int"))
+    article = (c("id") % 120 + 1).cast("string")
+    return t.docs.withColumns({"leyes_citadas": F.concat(F.lit('["'), law, F.lit('"]')), "articulos_clave": F.concat(F.lit('[{"cuerpo":"'), law, F.lit('","articulo":"'), article, F.lit('"}]'))})
+
+
+def postings(t: Tables):
+    return rt.postings(full(t), FIELDS)
+
+
+def scan(t: Tables):
+    return rt.Scan(full(t), tuple(FIELDS))
 
 
 c = F.col
 q("k15_postings", POSTINGS + " SELECT term, field, count(*) AS n, count(DISTINCT doc_id) AS docs FROM toks GROUP BY ALL")(
-    lambda t: index(t)[0].groupBy("term", "field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    lambda t: postings(t).groupBy("term", "field").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 )
 q("k15_refresh", POSTINGS + " SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM toks WHERE doc_id % 10 <> 1")(
-    lambda t: rt.refreshed(index(t)[0], t.docs.filter("id % 10 = 2"), FIELDS, t.docs.filter("id % 10 = 1")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    lambda t: rt.refreshed(postings(t), full(t).filter("id % 10 = 2"), FIELDS, t.docs.filter("id % 10 = 1")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 )
 q("r01_match_query", "SELECT 'IVA OR \"servicios\" OR \"digitales\"' AS q")(lambda t: t.spark.range(1).select(F.lit(rt.match_query("IVA servicios digitales")).alias("q")))
-q("r03_bm25", POSTINGS + HITS + " SELECT doc_id, round(rank, 6) AS rank FROM scored")(lambda t: rt.bm25(*index(t), rt.parse(QUESTION).phrases).select("doc_id", F.round("rank", 6).alias("rank")))
+q("r03_stored", POSTINGS + HITS + " SELECT doc_id, round(rank, 6) AS rank FROM scored")(
+    lambda t: rt.Stored(postings(t), rt.lengths(full(t), FIELDS)).scores(rt.parse(QUESTION).phrases).select("doc_id", F.round("rank", 6).alias("rank"))
+)
+q("r03_bm25", POSTINGS + HITS + " SELECT doc_id, round(rank, 6) AS rank FROM scored")(lambda t: scan(t).scores(rt.parse(QUESTION).phrases).select("doc_id", F.round("rank", 6).alias("rank")))
 q("o07_best500", POSTINGS + HITS + " SELECT doc_id, round(rank, 6) AS rank FROM scored ORDER BY round(scored.rank, 9), doc_id LIMIT 100")(
-    lambda t: rt.ranked(*index(t), QUESTION, 100).select("doc_id", F.round("rank", 6).alias("rank"))
+    lambda t: rt.ranked(scan(t), QUESTION, 100).select("doc_id", F.round("rank", 6).alias("rank"))
 )
 q("r02_search_page", POSTINGS + HITS + """, best AS (SELECT doc_id, rank FROM scored ORDER BY round(rank, 9), doc_id LIMIT 500)
    SELECT d.id, d.fecha, round(b.rank, 6) AS rank FROM docs d JOIN best b ON b.doc_id = d.id WHERE d.tipo = 'oficio' ORDER BY coalesce(d.fecha, '') DESC, d.id DESC LIMIT 15""")(
-    lambda t: op.page(rt.candidates(t.docs, *index(t), QUESTION).filter("tipo = 'oficio'")).select("id", "fecha", F.round("rank", 6).alias("rank"))
+    lambda t: op.page(rt.candidates(t.docs, scan(t), QUESTION).filter("tipo = 'oficio'")).select("id", "fecha", F.round("rank", 6).alias("rank"))
 )
 q("r02_fallback", "SELECT id FROM docs WHERE titulo ILIKE '%a OR e%' OR contenido ILIKE '%a OR e%' OR palabras_clave ILIKE '%a OR e%' OR resumen ILIKE '%a OR e%'")(
-    lambda t: rt.candidates(t.docs, *index(t), "a OR e").select("id")
+    lambda t: rt.candidates(t.docs, scan(t), "a OR e").select("id")
 )
 q("r04_fragment", """SELECT id, CASE WHEN p = 0 THEN substr(s, 1, 100) ELSE trim(substr(s, CAST(greatest(0, p - 1 - 33) AS BIGINT) + 1, 100), ' ' || chr(10)) END AS f
    FROM (SELECT id, s, coalesce(nullif(strpos(lower(s), 'pathetic'), 0), strpos(lower(s), 'oficio')) AS p FROM (SELECT id, trim(contenido, ' ' || chr(10)) AS s FROM docs))""")(
     lambda t: t.docs.select("id", rt.fragment(c("contenido"), "pathetic oficio de", 100).alias("f"))
 )
-PACK = POSTINGS + HITS + """, b AS (SELECT d.*, s.rank, row_number() OVER (ORDER BY round(s.rank, 9), id) AS place FROM docs d JOIN scored s ON s.doc_id = d.id WHERE d.tipo = 'circular' ORDER BY place LIMIT 8),
+PACK = POSTINGS + HITS + """, b AS (SELECT d.*, s.rank, row_number() OVER (ORDER BY round(s.rank, 9), id) AS place FROM full_docs d JOIN scored s ON s.doc_id = d.id WHERE d.tipo = 'circular' ORDER BY place LIMIT 8),
    f AS (SELECT *, CASE WHEN p = 0 THEN substr(s, 1, 900) ELSE trim(substr(s, CAST(greatest(0, p - 1 - 300) AS BIGINT) + 1, 900), ' ' || chr(10)) END AS extracto
      FROM (SELECT *, coalesce(nullif(strpos(lower(s), 'thing'), 0), nullif(strpos(lower(s), 'pathetic'), 0), 0) AS p FROM (SELECT *, trim(coalesce(nullif(resumen, ''), contenido), ' ' || chr(10)) AS s FROM b))),
    k AS (SELECT *, sum(length('--- DOCUMENTO ' || place || ' ---' || chr(10) || 'Tipo: ' || tipo || ' | Numero: ' || numero || ' | Anio: ' || coalesce(CAST(anio AS VARCHAR), '-') || ' | Fecha: ' || coalesce(fecha, '-') || chr(10)
-     || 'Referencia: ' || referencia || chr(10) || 'Leyes citadas: []' || chr(10) || 'Articulos: []' || chr(10) || 'Extracto relevante:' || chr(10) || extracto || chr(10))) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM f)"""
+     || 'Referencia: ' || referencia || chr(10) || 'Leyes citadas: ' || leyes_citadas || chr(10) || 'Articulos: ' || articulos_clave || chr(10) || 'Extracto relevante:' || chr(10) || extracto || chr(10))) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM f)"""
 
 
 def sources(t: Tables):
-    docs = t.docs.filter("tipo = 'circular'").withColumns({"leyes_citadas": F.lit("[]"), "articulos_clave": F.lit("[]")})
-    return rt.context(docs, *index(t), QUESTION, most_chars=2000)
+    return rt.context(full(t).filter("tipo = 'circular'"), scan(t), QUESTION, most_chars=2000)
 
 
 q("r05_context", PACK + " SELECT CAST(place AS INT) AS place, id, extracto, round(1 / (1 + abs(rank)), 4) AS relevancia, CAST(upto AS BIGINT) AS upto FROM k WHERE upto <= 2000")(
     lambda t: sources(t).select("place", "id", "extracto", "relevancia", "upto")
 )
-q("r06_answer", PACK + " SELECT 'media' AS confianza, count(*) AS fuentes FROM k WHERE upto <= 2000")(lambda t: rt.answer(sources(t), QUESTION).select("confianza", "fuentes"))
+q("r06_answer", PACK + " SELECT 'media' AS confianza, count(*) AS fuentes, 'Se devolvieron solo las fuentes encontradas.' AS nota, CAST(max(upto) + count(*) - 1 AS INT) AS n FROM k WHERE upto <= 2000")(lambda t: rt.answer(sources(t), QUESTION).select("confianza", "fuentes", "nota", F.length("contexto").alias("n")))
 q("r07_filtered_question", "SELECT id, CAST(0.001 AS DOUBLE) AS relevancia FROM (SELECT * FROM docs WHERE tipo = 'judicial' AND (titulo ILIKE '%a OR b%' OR resumen ILIKE '%a OR b%' OR contenido ILIKE '%a OR b%') ORDER BY fecha DESC NULLS LAST, id DESC LIMIT 3)")(
-    lambda t: rt.context(t.docs.filter("tipo = 'judicial'").withColumns({"leyes_citadas": F.lit("[]"), "articulos_clave": F.lit("[]")}), *index(t), "a OR b", 3).select("id", "relevancia")
+    lambda t: rt.context(t.docs.filter("tipo = 'judicial'").withColumns({"leyes_citadas": F.lit("[]"), "articulos_clave": F.lit("[]")}), scan(t), "a OR b", 3).select("id", "relevancia")
 )
 q("r09_search_response", None)(
-    lambda t: op.decorated(op.page(op.with_side_tables(op.filtered(rt.candidates(t.docs, *index(t), QUESTION), t.articulos_idx, t.judicial_docs, t.judicial_relaciones, op.Search(text=QUESTION, ley="LIR")), t.judicial_docs, t.judicial_relaciones)), QUESTION).select(
+    lambda t: op.decorated(op.page(op.with_side_tables(op.filtered(rt.candidates(t.docs, scan(t), QUESTION), t.articulos_idx, t.judicial_docs, t.judicial_relaciones, op.Search(text=QUESTION, ley="LIR")), t.judicial_docs, t.judicial_relaciones)), QUESTION).select(
         "id", "tipo", "numero", "anio", "fecha", "tema", "extracto", "corte", "cuerpos", "pdf", formal_type(c("tipo")).alias("nombre")
     )
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
+import uuid
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,23 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="leafquarry-tables-")
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where everything
+    runs on this machine) and read back, so that what follows reads it instead of computing it again."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(root or _own_folder()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lookup(df: DataFrame, column: str, value: object) -> DataFrame:
     """At most one row with the value, the one with the smallest id."""
     return df.filter(F.col(column) == F.lit(value)).orderBy("id").limit(1)
