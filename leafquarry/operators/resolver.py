@@ -80,7 +80,9 @@ def _refs_of(segment: Column) -> Column:
 
 def references(text: Column) -> Column:
     """The distinct references of a text, in its order; a null text has none."""
-    segments = F.split(_mask(F.coalesce(text, F.lit(""))), "[\n;:]")
+    # no mention holds a semicolon or colon, so what stands between them and names no article is passed over unread
+    stretches = F.filter(F.split(F.coalesce(text, F.lit("")), "[;:]"), lambda x: x.rlike(refs.MENTION))
+    segments = F.filter(F.flatten(F.transform(stretches, lambda x: F.split(_mask(x), "\n"))), lambda x: x.rlike(_masked(refs.MENTION)))
     pairs = F.flatten(F.transform(segments, _refs_of))
     return refs.distinct_refs(F.transform(pairs, lambda p: refs.reference(p["law"], p["article"], p["law"].isNull())))
 
