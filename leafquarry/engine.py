@@ -121,6 +121,7 @@ class Engine:
             "sources": catalog.facet(self.docs, "fuente"),
         }
         if self.log is not None:
+            out["log"] = self.log.groupBy("tipo", "anio").agg(F.count(F.lit(1)).alias("cnt"), F.count_if(F.col("estado") == "ok").alias("ok"))
             out["new_today"] = self.log.filter((F.col("estado") == "ok") & (F.col("fecha").cast("date") == F.lit(today).cast("date"))).agg(F.count(F.lit(1)).alias("n"))
         if self.cases is not None and self.notes is not None:
             out["cases"] = catalog.case_totals(self.cases, self.notes)

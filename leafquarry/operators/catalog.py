@@ -136,6 +136,11 @@ def facet(df: DataFrame, column: str) -> DataFrame:
     return df.filter(~blank(F.col(column))).select(column).distinct().orderBy(column)
 
 
+def sample(df: DataFrame, most: int, seed: int = 0, key: str = "id") -> DataFrame:
+    """A random choice of rows that a seed repeats on any partitioning: the first by hash of key and seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(most)
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of each key the last row."""
     w = Window.partitionBy(*keys).orderBy(*order)

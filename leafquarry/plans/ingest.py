@@ -99,12 +99,13 @@ def files(t: Tables):
     return d, own.unionByName(court)
 
 
-q("j17_e16_parity", r""", f AS (SELECT tipo || '|' || CAST(coalesce(anio, 0) AS VARCHAR) || '|' || numero AS key, id % 17 = 0 AS bad, id FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id WHERE id % 5 > 0 AND tipo <> 'judicial' AND anio IS NOT NULL),
+PARITY = r""", f AS (SELECT tipo || '|' || CAST(coalesce(anio, 0) AS VARCHAR) || '|' || numero AS key, id % 17 = 0 AS bad, id FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id WHERE id % 5 > 0 AND tipo <> 'judicial' AND anio IS NOT NULL),
    g AS (SELECT key, count(*) AS n, min_by(bad, CAST(id AS VARCHAR)) AS bad FROM f GROUP BY key)
    SELECT d.id, CASE WHEN d.tipo = 'judicial' THEN CASE WHEN j.pdf_local IS NOT NULL THEN 'OK_PDF' WHEN d.id % 5 > 0 AND d.anio IS NOT NULL THEN CASE WHEN d.id % 17 = 0 THEN 'INCONSISTENCIA_IDENTIFICADOR' ELSE 'OK_PDF' END ELSE 'FALTA_PDF_TOTAL' END
      WHEN g.n > 1 THEN 'DUPLICADO_PDF' WHEN g.n = 1 THEN CASE WHEN g.bad THEN 'INCONSISTENCIA_IDENTIFICADOR' ELSE 'OK_PDF' END
      ELSE 'FALTA_PDF_TOTAL' END AS estado
-   FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id LEFT JOIN g ON g.key = d.tipo || '|' || CAST(coalesce(d.anio, 0) AS VARCHAR) || '|' || d.numero""")(lambda t: parity(t).select("id", "estado"))
+   FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id LEFT JOIN g ON g.key = d.tipo || '|' || CAST(coalesce(d.anio, 0) AS VARCHAR) || '|' || d.numero"""
+q("j17_e16_parity", PARITY)(lambda t: parity(t).select("id", "estado"))
 
 
 def parity(t: Tables):
@@ -114,7 +115,7 @@ def parity(t: Tables):
     return audit.classified(rows.withColumns({"html": none, "image": none, "ocr": none, "doc": none}))
 
 
-q("a19_parity_histogram")(lambda t: audit.histogram(parity(t)))
+q("a19_parity_histogram", PARITY.replace("SELECT d.id, CASE", ", p AS (SELECT d.id, CASE", 1) + ") SELECT estado, count(*) AS cnt, round(count(*) * 100 / (SELECT count(*) FROM p), 2) AS pct FROM p GROUP BY estado")(lambda t: audit.histogram(parity(t)))
 q("j18_auxiliary", "SELECT id, anio IS NOT NULL AND CAST(numero AS INT) % 4 = 0 AS html FROM docs")(
     lambda t: audit.auxiliary(t.docs, t.docs.filter("anio IS NOT NULL AND cast(numero as int) % 4 = 0").select(F.concat(c("anio").cast("string"), F.lit("_circu"), F.lpad("numero", 3, "0"), F.lit("_limpio")).alias("stem")), "html").select("id", "html")
 )

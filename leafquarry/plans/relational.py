@@ -214,7 +214,7 @@ q("o04_largest_number", "SELECT tipo, max_by(id, CAST(numero AS BIGINT) * 100000
     lambda t: op.latest_by(t.docs.withColumn("k", dates.leading_number(c("numero"))), ["tipo"], [c("k").desc(), c("id")]).select("tipo", "id")
 )
 q("o05_longest", "SELECT id, length(contenido) AS n FROM docs ORDER BY n DESC, id LIMIT 50")(lambda t: t.docs.select("id", F.length("contenido").cast("bigint").alias("n")).orderBy(c("n").desc(), "id").limit(50))
-q("o06_sample")(lambda t: t.docs.orderBy(F.rand(7)).limit(20).select("id"))
+q("o06_sample", "SELECT id FROM docs ORDER BY md5(CAST(id AS VARCHAR) || ':7'), id LIMIT 20")(lambda t: op.sample(t.docs, 20, 7).select("id"))
 q("o09_cases", "SELECT id FROM casos ORDER BY id DESC LIMIT 10")(lambda t: t.casos.orderBy(c("id").desc()).limit(10).select("id"))
 q("o10_law_order", "SELECT doc_id, array_to_string(list_filter(['CT', 'LIR', 'LIVS', 'ITE'], lambda x: list_contains(l, x)), ',') AS leyes FROM (SELECT doc_id, list(ley) AS l FROM articulos_idx GROUP BY doc_id)")(
     lambda t: t.articulos_idx.groupBy("doc_id").agg(F.array_join(refs.laws_in_order(F.collect_set("ley")), ",").alias("leyes"))

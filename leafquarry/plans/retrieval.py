@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from leafquarry.engine import Engine
 from leafquarry.functions.text import formal_type
 from leafquarry.operators import catalog as op
 from leafquarry.operators import retrieval as rt
@@ -91,6 +94,65 @@ q("r09_search_response", None)(
         "id", "tipo", "numero", "anio", "fecha", "tema", "extracto", "corte", "cuerpos", "pdf", formal_type(c("tipo")).alias("nombre")
     )
 )
+q("r09_search_rows", POSTINGS + HITS + """, best AS (SELECT doc_id FROM scored ORDER BY round(rank, 9), doc_id LIMIT 500),
+   p AS (SELECT * FROM docs WHERE id IN (SELECT doc_id FROM best) AND id IN (SELECT doc_id FROM articulos_idx WHERE ley = 'LIR') ORDER BY coalesce(fecha, '') DESC, id DESC LIMIT 15)
+   SELECT p.id, p.tipo, p.numero, p.anio, p.fecha, j.corte, (SELECT string_agg(DISTINCT r.cuerpo_normativo, ',' ORDER BY r.cuerpo_normativo) FROM judicial_relaciones r WHERE r.doc_id = p.id) AS cuerpos, coalesce(p.pdf_local, j.pdf_local) AS pdf
+   FROM p LEFT JOIN judicial_docs j ON j.doc_id = p.id""")(
+    lambda t: op.with_side_tables(
+        op.page(op.filtered(rt.candidates(t.docs, scan(t), QUESTION), t.articulos_idx, t.judicial_docs, t.judicial_relaciones, op.Search(text=QUESTION, ley="LIR"))), t.judicial_docs, t.judicial_relaciones
+    ).select("id", "tipo", "numero", "anio", "fecha", "corte", "cuerpos", "pdf")
+)
+
+
+def engine(t: Tables):
+    return Engine(t.spark, t.docs, t.articulos_idx, t.judicial_docs, t.judicial_relaciones, log=t.scraper_log, cases=t.casos, notes=t.caso_notas)
+
+
+def rows_of(parts, keys):
+    """parte, clave: the rows of each part by one text; keys: what makes it."""
+    out = [parts[p].select(F.lit(p).alias("parte"), make().cast("string").alias("clave")) for p, make in keys.items()]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
+q("r10_page_parts", """, own AS (SELECT DISTINCT ley, articulo FROM articulos_idx WHERE doc_id = 7 AND articulo IS NOT NULL ORDER BY ley, articulo LIMIT 4)
+   SELECT 'doc' AS parte, '7|' || coalesce(pdf_local, '') AS clave FROM (SELECT coalesce(d.pdf_local, j.pdf_local) AS pdf_local FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id WHERE d.id = 7)
+   UNION ALL SELECT 'related', CAST(id AS VARCHAR) FROM (SELECT id FROM docs WHERE id <> 7 AND id IN (SELECT doc_id FROM articulos_idx a JOIN own USING (ley, articulo)) ORDER BY anio DESC NULLS LAST, id DESC LIMIT 8)
+   UNION ALL SELECT 'history', CAST(v.id AS VARCHAR) FROM docs v JOIN docs d ON d.id = 7 AND v.tipo = d.tipo AND v.numero = d.numero AND v.id <> 7
+   UNION ALL SELECT 'relations', cuerpo_normativo || '|' || articulo FROM judicial_relaciones WHERE doc_id = 7""")(
+    lambda t: rows_of(
+        engine(t).document(7),
+        {"doc": lambda: F.concat_ws("|", c("id"), F.coalesce("pdf", F.lit(""))), "related": lambda: c("id"), "history": lambda: c("id"), "relations": lambda: F.concat_ws("|", "cuerpo_normativo", "articulo")},
+    )
+)
+q("r11_dashboard_parts", """, a AS (SELECT ley, articulo, count(*) AS cnt FROM articulos_idx WHERE ley IS NOT NULL AND articulo IS NOT NULL GROUP BY ALL ORDER BY cnt DESC, ley, articulo LIMIT 15)
+   SELECT 'totals' AS parte, count(*) || '|' || max(fecha_carga) AS clave FROM docs
+   UNION ALL SELECT 'by_type', tipo || '|' || count(*) FROM docs GROUP BY tipo
+   UNION ALL SELECT 'by_year', anio || '|' || cnt FROM (SELECT anio, count(*) AS cnt FROM docs WHERE anio IS NOT NULL GROUP BY anio ORDER BY anio DESC LIMIT 15)
+   UNION ALL SELECT 'recent', CAST(id AS VARCHAR) FROM (SELECT id FROM docs ORDER BY coalesce(fecha_carga, fecha) DESC, id DESC LIMIT 6)
+   UNION ALL SELECT 'articles', ley || '|' || articulo || '|' || cnt FROM a
+   UNION ALL SELECT DISTINCT 'subjects', materia FROM docs WHERE trim(coalesce(materia, '')) <> ''
+   UNION ALL SELECT DISTINCT 'courts', corte FROM judicial_docs UNION ALL SELECT DISTINCT 'bodies', cuerpo_normativo FROM judicial_relaciones UNION ALL SELECT DISTINCT 'sources', fuente FROM docs
+   UNION ALL SELECT 'log', tipo || '|' || anio || '|' || count(*) || '|' || count(*) FILTER (estado = 'ok') FROM scraper_log GROUP BY tipo, anio
+   UNION ALL SELECT 'new_today', CAST(count(*) AS VARCHAR) FROM scraper_log WHERE estado = 'ok' AND CAST(fecha AS DATE) = DATE '2024-01-15'
+   UNION ALL SELECT 'cases', c.id || '|' || count(n.id) || '|' || count(n.doc_id) FROM casos c LEFT JOIN caso_notas n ON n.caso_id = c.id GROUP BY c.id""")(
+    lambda t: rows_of(
+        engine(t).dashboard("2024-01-15"),
+        {
+            "totals": lambda: F.concat_ws("|", "total", "ultima"),
+            "by_type": lambda: F.concat_ws("|", "tipo", "cnt"),
+            "by_year": lambda: F.concat_ws("|", "anio", "cnt"),
+            "recent": lambda: c("id"),
+            "articles": lambda: F.concat_ws("|", "ley", "articulo", "cnt"),
+            "subjects": lambda: c("materia"),
+            "courts": lambda: c("corte"),
+            "bodies": lambda: c("cuerpo_normativo"),
+            "sources": lambda: c("fuente"),
+            "log": lambda: F.concat_ws("|", "tipo", "anio", "cnt", "ok"),
+            "new_today": lambda: c("n"),
+            "cases": lambda: F.concat_ws("|", "id", "notas", "documentos"),
+        },
+    )
+)
 q("r10_document_page", """SELECT d.id, d.titulo, j.corte, (SELECT count(*) FROM docs v WHERE v.tipo = d.tipo AND v.numero = d.numero AND v.id <> d.id) AS versiones FROM docs d LEFT JOIN judicial_docs j ON j.doc_id = d.id WHERE d.id = 7""")(
     lambda t: t.docs.filter("id = 7").join(t.judicial_docs.select(c("doc_id").alias("id"), "corte"), "id", "left").join(op.versions(t.docs, 7).agg(F.count(F.lit(1)).alias("versiones")), F.lit(True)).select("id", "titulo", "corte", "versiones")
 )
