@@ -4,9 +4,9 @@ Counting runs in Spark over all training texts: tasks sum the pairs of their tex
 their first word (by both words where the first one is hot, see HOT_SHARE), and each bucket is stored as an array of
 sorted pair hashes with counts. Words have arrays of counts, continuation counts and context statistics. Workers map
 these files into memory and look up a batch's pairs at once. The number of buckets follows the number of tokens, so a
-bucket's size doesn't grow with the corpus. Counts are 64-bit (pairs: 32 bits, and a list of those beyond). Nothing is
-pruned or sampled, and the driver holds only totals. The files take about 12 bytes for each distinct pair and 56 for
-each distinct word.
+bucket's size doesn't grow with the corpus. Counts are 64-bit (of pairs 32 bits, and a list of those beyond; a word with 2^32
+different contexts raises OverflowError). Nothing is pruned or sampled, and the driver holds only totals. The files
+take about 12 bytes for each distinct pair and 40 for each distinct word.
 
 Defined cases: null and empty texts are one end token; very long texts are read whole; null ids count as the empty text for the hold-out; without
 training texts every token's probability is 1; repeated rows stay (and count in training as often); columns
@@ -35,7 +35,7 @@ END, START = (np.uint64(xxhash.xxh64_intdigest(x, SEED)) for x in (b"\n", b"\n\n
 #: A word with more than this share of all tokens, and more than so many, is hot: at most 1 / HOT_SHARE words are.
 HOT_SHARE, LEAST_HOT = 1 / 65536, 500_000
 #: Tokens whose pairs a task sums before it passes them on; words it remembers.
-HELD, MEMORY = 3_000_000, 300_000
+HELD, MEMORY = 2_000_000, 400_000
 PAIRS, STATS = 0, 1
 #: Tokens whose pairs share a bucket, on average at most; the largest count that 32 bits hold for a pair.
 PER_BUCKET, TOP = 1_000_000, (1 << 32) - 1
@@ -210,6 +210,7 @@ def pair_files(texts: DataFrame, hot: np.ndarray, bits: int) -> str:
 
 
 STAT_KINDS = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32, np.uint64)
+WORD_KINDS = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
 WORD_COLUMNS = ("c", "total", "n1", "n2", "n3", "continued")
 
 
@@ -279,7 +280,9 @@ def word_files(words: DataFrame, bits: int) -> list[str]:
             held.clear()
             keys = columns[0].view(np.uint64)
             order = np.argsort(keys)
-            blob = blobs.packed(at, 0, keys[order], *(c[order].astype(np.uint64) for c in columns[1:]))
+            if max(int(c.max()) for c in columns[3:]) >= 1 << 32:
+                raise OverflowError("a word has more contexts than 32 bits hold")
+            blob = blobs.packed(at, 0, keys[order], *(c[order].astype(t) for c, t in zip(columns[1:], WORD_KINDS, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
         for batch in batches:
@@ -330,7 +333,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.m = model
         self.pairs = {b: blobs.unpacked(v, PAIR_KINDS) for b, _, v in blobs.opened(model.pairs)}
-        self.words = {b: blobs.unpacked(v, (np.uint64,) * (1 + len(WORD_COLUMNS))) for b, _, v in blobs.opened(model.words)}
+        self.words = {b: blobs.unpacked(v, (np.uint64, *WORD_KINDS)) for b, _, v in blobs.opened(model.words)}
         self.columns = np.zeros((len(WORD_COLUMNS), 0))
         self.numbers = Words()
 
