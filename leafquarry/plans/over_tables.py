@@ -10,7 +10,7 @@ from leafquarry.operators.resolver import references
 from leafquarry.plans.ingest import shown
 from leafquarry.plans.relational import q
 from leafquarry.plans.scalars import on_docs
-from leafquarry.sources import html_index
+from leafquarry.sources import html_index, pdf
 
 c = F.col
 
@@ -202,3 +202,13 @@ def historical():
 
 made("t25_record", modern, f"'Circular N' || {N} || '|Circular N' || {N} || ' de ' || {YEAR} || '|'")
 made("t24_record", historical, f"'Circular N' || {N} || ' de ' || {YEAR} || '|tema | circular historica' || CASE id % 2 WHEN 1 THEN ' | ocr' ELSE '' END")
+
+
+def document_files(t):
+    """Each document as the least PDF file that holds its text (other than printable letters as question marks)."""
+    plain = F.regexp_replace("contenido", "[^ -~]", "?")
+    escaped = F.regexp_replace(plain, r"([()\\])", r"\\$1")
+    return t.docs.select("id", s("%PDF-1.4\n1 0 obj<</Type/Page>>endobj\n2 0 obj<<>>\nstream\nBT /F1 9 Tf 9 9 Td (", escaped, ") Tj ET\nendstream\nendobj\n%%EOF").cast("binary").alias("content"))
+
+
+q("m04_pdf_text", "SELECT id, CAST(1 AS INT) AS pages, regexp_replace(contenido, '[^ -~]', '?', 'g') AS text FROM docs")(lambda t: pdf.texts(document_files(t), "id").select("id", "pages", "text"))
