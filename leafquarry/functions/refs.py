@@ -34,6 +34,7 @@ NAMES = {
     "CI": "Convenios Internacionales",
 }
 ALIASES = {"LTE": "ITE", "LH": "LHD", "LMT": "OCN", "LRT": "OCN", "OTRAS": "OCN", "OTROS": "OCN"}
+# The patterns of an article's number and of the word before it.
 ARTICLE = (
     r"\d{1,3}(?:\s*(?:bis|ter|quater|qu[aá]ter))?(?:\s+inciso\s+(?:primero|segundo|tercero|cuarto|quinto|sexto|final))?"
     r"(?:\s+letra\s+[a-z])?(?:\s+n[°ºo]?\s*\d+)?"
