@@ -9,7 +9,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch may hold, so that a Python worker's memory doesn't depend on text lengths.
@@ -65,6 +65,18 @@ def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with each row's place in the order (0, 1, ...) in column ``name``; written to the shared folder. Rows are sorted in ranges;
+    what is numbered across ranges is their sizes, one row for each. Rows that agree in the whole order are placed anyhow."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    placed = written(placed, "numbered")
+    sizes = placed.groupBy(F.shiftright(name, 33).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    found = placed.join(F.broadcast(starts), F.shiftright(name, 33) == F.col("range"))
+    return found.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")).drop("range", "start")
+
+
 def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """rows joined with table, which has one row for each combination of keys (never null) and in ``weight`` how many of
     rows have it. Both must be written ones, as they are read twice. What is hot (see HOT_SHARE: a few thousand rows at
