@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_html": {"page_id", "url", "text", "n_chars"},
     "op9_simhash": {"doc_id", "fingerprint", "component_id"},
     "op10_jpeg": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
+    "op11_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    "op12_multiset_hash": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+    "op13_ball_tree": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
 }
 
 
@@ -28,6 +31,8 @@ def write(spark, folder, docs, labels=()):
     spark.createDataFrame([(d, t, "en", s, len(t or ""), "own") for d, t, s in docs], DOCS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(d, None, t) for d, t, _ in docs], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(d, k, s, t) for k, (d, t, s) in enumerate(docs)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(d, [float(k)] * 64) for k, (d, _, _) in enumerate(docs)], "vec_id bigint, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
 
 
 def test_registry():
@@ -47,8 +52,8 @@ def test_query(spark, folders, name):
     got = QUERIES[name](spark, folders[0])
     assert COLUMNS[name] <= set(got.columns)
     rows = got.collect()
-    key = "page_id" if name == "op8_html" else "doc_id"
-    assert sorted(str(r[key]) for r in rows) == sorted(str(d) for d, _, _ in ODD)
+    key = {"op8_html": "page_id", "op13_ball_tree": "vec_id"}.get(name, "doc_id")
+    assert name == "op11_prefix_trie" or sorted(str(r[key]) for r in rows) == sorted(str(d) for d, _, _ in ODD)
     assert QUERIES[name](spark, folders[1]).count() == 0
     modulus, rest = {"op1_toxicity": (5, 0), "op5_quality": (3, 1), "op7_language_model": (7, 2)}.get(name, (0, 0))
     for r in rows if modulus else ():
