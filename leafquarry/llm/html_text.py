@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags. The first pass decides each block
 and its share of function words; short blocks and unclear ones stay undecided, and the second pass gives them the
 label of the nearest decided block. What menus, footers, asides, notices, adverts, reader comments and the like hold
 (by tag, or by the words of their class, id or role) is left out before. Inside <article> or <main> a block needs no
-function words, and link text counts against it only in a run of such blocks. If the text inside is no less than
+function words, a class is a sign only if all its parts are ("share-buttons", not "share-price"), and link text counts against it only in a run of such blocks. If the text inside is no less than
 what the passes keep beside it, the text beside it goes; else (a teaser, say) both count alike.
 
 What only a weak sign excludes (a form, a class such as "search" or "banner") is rescued by an <article> or <main> within
@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,13 @@ STRONG = frozenset(
     " menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer comment comments commentlist disqus replies respond share sharing related recommended"
     " recommendations popup modal login signup subscribe subscription copyright widget widgets".split()
 )
-#: Words that do so only as a whole class, and not for what holds an article.
+#: Parts that a class inside an article may have besides, to be such a sign.
+BOXES = frozenset(
+    "box block bar area container wrapper wrap list lists links button buttons section slot unit inner outer content top bottom left right form signup email inline posts stories"
+    " articles icons text title heading header footer row panel group module nav count".split()
+)
+#: Words that do so only as a whole class, and not for what holds an article; and those of them that inside one speak only against what isn't prose.
+DOUBTFUL = frozenset("legal discussion side social".split())
 WEAK = frozenset("search searchform notice notices alert alerts banner overlay legal disclaimer discussion side social header reply skip".split())
 COMMENT = frozenset("comment comments commentlist disqus replies".split())
 #: First and last parts of a class that speaks of the layout, not of the element.
@@ -67,38 +74,69 @@ MOST_LINKS, FEW_LINKS = 0.35, 0.15
 FEW_STOPWORDS, SOME_STOPWORDS = 0.05, 0.12
 #: Blocks of link text in a row that make a list of links inside an article.
 LIST = 3
+#: Tags whose text has few function words.
+UNJUDGED = frozenset("pre table ul ol dl address figure".split())
+#: Ends of sentences; letters of words that are written without spaces, each of which counts as several.
+STOP = re.compile(r"[.!?…。！？।۔](?:[\s\"'”’»)\]]|$)|[。！？]")
+DENSE, DENSE_WORTH = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff]"), 3
+LATIN = re.compile("[a-z\u00df-\u024f\u1e00-\u1eff]")
 
 
-def sign(name: str) -> int:
-    """What one class or id says of its element: 2 surely outside, 1 perhaps, 0 nothing."""
+@lru_cache(maxsize=1 << 14)
+def sign(name: str, inside: bool = False) -> int:
+    """What one class or id says of its element, inside an article or not: 2 surely outside, 1 perhaps, -1 outside unless it is prose, 0 nothing."""
     parts = [x for x in CAMEL.sub("-", name).lower().replace("_", "-").split("--")[0].split("-") if x]
     if not parts or len(parts) > 1 and (parts[0] in FIRST_NEUTRAL or parts[-1] in LAST_NEUTRAL):
         return 0
+    if inside and len(parts) > 1:
+        return 2 if all(x in STRONG or x in BOXES for x in parts) and not STRONG.isdisjoint(parts) else 0
+    if inside and parts[0] in DOUBTFUL:
+        return -1
     if parts[0] in STRONG or parts[-1] in STRONG or not COMMENT.isdisjoint(parts) or parts[-2:] in (["site", "header"], ["page", "header"]):
         return 2
     return 1 if len(parts) == 1 and parts[0] in WEAK else 0
 
 
-def signs(rest: str) -> int:
+def signs(rest: str, inside: bool = False) -> int:
     """The strongest sign of a tag's attributes."""
     most = 0
+    if not rest:
+        return most
     for name, value in ATTRIBUTE.findall(rest):
         words = value.strip("\"'").split()
         if name.lower() == "role":
             most = max(most, 2 * any(w.lower() in ROLES for w in words))
         else:
-            most = max([most, *map(sign, words)])
+            most = max([most, *(sign(w, inside) for w in words)], key=abs)
     return most
 
 
 @dataclass
 class Block:
-    """outside: 2 surely, 1 by a weak sign."""
+    """outside: 2 surely, 1 by a weak sign, -1 unless it is prose. unjudged: in code, a table or a list."""
 
     text: str
     links: int
     inside: bool
     outside: int
+    unjudged: bool = False
+
+    @cached_property
+    def length(self) -> int:
+        return len(self.text) + (DENSE_WORTH - 1) * len(DENSE.findall(self.text))
+
+    @cached_property
+    def words(self) -> tuple[int, int]:
+        """Words, and function words among them; (0, 0) where most letters aren't Latin."""
+        text = self.text.lower()
+        found = LETTERS.findall(text)
+        if 2 * len(LATIN.findall(text)) < sum(map(len, found)):
+            return 0, 0
+        return len(found), sum(w in EVERY_STOPWORD for w in found)
+
+    @property
+    def is_prose(self) -> bool:
+        return self.length >= SHORT and self.links <= FEW_LINKS * len(self.text) and STOP.search(self.text) is not None
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -107,8 +145,9 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     link_parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # tag, inside an article, outside of the text
-    depth: Counter = Counter()  # of each open tag
-    opened: tuple[bool, int] | None = None  # where the block's first text stands
+    depth: defaultdict[str, int] = defaultdict(int)  # of each open tag
+    broken = unjudged = 0  # how many open tags a block-level tag would end; and are of UNJUDGED
+    opened: tuple[bool, int, bool] | None = None  # where the block's first text stands
 
     def close() -> None:
         nonlocal opened
@@ -121,14 +160,19 @@ def blocks_of(page: str) -> list[Block]:
         link_parts.clear()
 
     def pop() -> str:
+        nonlocal broken, unjudged
         tag = stack.pop()[0]
         depth[tag] -= 1
+        if tag in BROKEN_OUT_OF:
+            broken -= 1
+        elif tag in UNJUDGED:
+            unjudged -= 1
         return tag
 
     def say(text: str) -> None:
         nonlocal opened
         if opened is None and text.strip():
-            opened = stack[-1][1:] if stack else (False, 0)
+            opened = (*(stack[-1][1:] if stack else (False, 0)), unjudged > 0)
         parts.append(text)
         if depth["a"]:
             link_parts.append(text)
@@ -160,43 +204,56 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 pop()
-            if tag not in OUTSIDE and tag not in ("option", "optgroup") and any(depth[t] > 0 for t in BROKEN_OUT_OF) and tag in BLOCK_TAGS:
-                while any(depth[t] > 0 for t in BROKEN_OUT_OF):
+            if broken and tag in BLOCK_TAGS and tag not in OUTSIDE:
+                while broken:
                     pop()
         inside, outside = stack[-1][1:] if stack else (False, 0)
         if tag in ("article", "main"):
-            inside, outside = True, 0 if outside == 1 else outside
+            inside, outside = True, 0 if outside in (1, -1) else outside
             outside = max(outside, 2 * (signs(rest) == 2))
         elif tag in OUTSIDE or tag == "header" and not inside:
             outside = 2
         elif outside < 2 and tag not in ("html", "body"):
-            outside = max(outside, signs(rest), int(tag in WEAK_TAGS))
+            outside = max(outside, signs(rest, inside), int(tag in WEAK_TAGS), key=abs)
         stack.append((tag, inside, outside))
         depth[tag] += 1
+        if tag in BROKEN_OUT_OF:
+            broken += 1
+        elif tag in UNJUDGED:
+            unjudged += 1
     if last < len(page):
         say(page[last:])
     close()
     return out
 
 
-def first_pass(b: Block) -> bool | None:
-    """Kept, dropped or (None) undecided."""
+def first_pass(b: Block, listed: bool = True) -> bool | None:
+    """Kept, dropped or (None) undecided. listed: the page shows a language whose function words are known."""
     n = len(b.text)
     if b.links > MOST_LINKS * n:
         return None if b.inside else False
-    if n < SHORT:
+    if b.length < SHORT:
         return None
     if b.inside:
         return True
-    words = LETTERS.findall(b.text.lower())
-    share = sum(w in EVERY_STOPWORD for w in words) / max(1, len(words))
-    if share >= SOME_STOPWORDS:
+    words, function_words = b.words
+    if b.unjudged or not words and not listed:
+        return True if b.is_prose and not listed else None
+    if function_words >= SOME_STOPWORDS * max(1, words):
         return True if n >= LONG or b.links <= FEW_LINKS * n else None
-    if share < FEW_STOPWORDS:
+    if not listed or not words:
+        return True if b.is_prose else None
+    if function_words < FEW_STOPWORDS * words:
         return False
     return None
 
 
+def shows_listed_language(blocks: list[Block]) -> bool:
+    """Whether the page's long blocks, as a whole, have the function words of a listed language."""
+    long = [b.words for b in blocks if b.length >= SHORT and b.links <= MOST_LINKS * len(b.text) and not b.unjudged]
+    return sum(f for _, f in long) >= FEW_STOPWORDS * sum(w for w, _ in long) and any(w for w, _ in long)
+
+
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
     """Undecided blocks get the label of the nearest decided one (of two equally near, kept if either is)."""
     decided = [k for k, label in enumerate(labels) if label is not None]
@@ -214,11 +271,15 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def chosen(blocks: list[Block]) -> list[Block]:
     """The blocks to keep among those that their place doesn't exclude."""
-    labels, run = [first_pass(b) for b in blocks], 0
+    blocks = [b for b in blocks if b.outside >= 0 or b.is_prose]
+    listed = shows_listed_language(blocks)
+    labels, run = [first_pass(b, listed) for b in blocks], 0
     for k, b in enumerate(blocks):
         run = run + 1 if b.links > MOST_LINKS * len(b.text) else 0
         if run >= LIST:
             labels[k - LIST + 1 : k + 1] = [False] * LIST
+    if not any(labels):
+        labels = [label if label is not None or b.links > MOST_LINKS * len(b.text) else True for b, label in zip(blocks, labels, strict=True)]
     kept = [b for b, label in zip(blocks, second_pass(blocks, labels), strict=True) if label]
     within = [b for b in kept if b.inside]
     if within and 2 * sum(len(b.text) for b in within) >= sum(len(b.text) for b in kept):
@@ -228,7 +289,7 @@ def chosen(blocks: list[Block]) -> list[Block]:
 
 def main_text(page: str | None) -> str:
     blocks = [b for b in blocks_of(page or "") if b.outside < 2]
-    kept = chosen([b for b in blocks if not b.outside])
+    kept = chosen([b for b in blocks if b.outside <= 0])
     if not kept:
         kept = chosen(blocks)
     return "\n".join(b.text for b in kept)
