@@ -77,16 +77,27 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return found.withColumn(name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("start")).drop("range", "start")
 
 
+def _hot(table: DataFrame, weight: str) -> int:
+    return max(HOT_ROWS, int((table.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE))
+
+
 def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """rows joined with table, which has one row for each combination of keys (never null) and in ``weight`` how many of
     rows have it. Both must be written ones, as they are read twice. What is hot (see HOT_SHARE: a few thousand rows at
     most, whatever the size) is broadcast; the rest meets by a join on the keys in which no key is large."""
-    least = max(HOT_ROWS, int((table.agg(F.sum(weight)).first()[0] or 0) * HOT_SHARE))
+    least = _hot(table, weight)
     hot = F.broadcast(table.where(F.col(weight) >= least))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) < least), keys)
     return rows.join(hot, keys).unionByName(rest)
 
 
+def unmet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """The rows that ``met`` would not join: what is hot goes by broadcast first."""
+    least = _hot(table, weight)
+    rest = rows.join(F.broadcast(table.where(F.col(weight) >= least).select(*keys)), keys, "left_anti")
+    return rest.join(table.where(F.col(weight) < least).select(*keys), keys, "left_anti")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

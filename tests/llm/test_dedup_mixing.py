@@ -222,3 +222,25 @@ def test_keep_one_is_exact(spark, monkeypatch, tile):
     texts = [" ".join(t) for t in texts]
     kept = simhash.keep_one(table(spark, [(i, t, "s") for i, t in enumerate(texts)]))
     assert sorted(r.doc_id for r in kept.collect()) == jaccard_kept(texts)
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_mixing_repeated_rows(spark, tmp_path, monkeypatch, few):
+    """Equal rows are taken one by one: each source comes within one document of its target, in the query, its SQL and the mixed table."""
+    import duckdb
+
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rows = [(1, "w " * 10, "a")] * 900 + [(k, "v " * 10, "a") for k in range(2, 112)] + [(k, "u " * 10, "b") for k in range(200, 240)] + [(300, "x", None)] * 3
+    docs = table(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op2_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = duckdb.sql(mixing.OP2_SQL).fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == sorted(wanted)
+    mixed = [r.source for r in mixing.mix(docs).collect()]
+    for source, words in (("a", 10), ("b", 10), (None, 1)):
+        first = next(r for r in got if (r.source_size == {"a": 10_100, "b": 400, None: 3}[source]))
+        taken = sum(r.taken for r in got if r.source_size == first.source_size)
+        assert abs(taken - first.target) <= words and mixed.count(source) * words == taken
