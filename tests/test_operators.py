@@ -156,19 +156,49 @@ def test_files_and_reports(spark, tmp_path):
 
 
 def test_stream_ingests_once(spark, tmp_path):
+    """Outcomes of three landings are those of a sequential reading; a run reads what landed and what the last one stored."""
     schema = "seq int, hash_md5 string, tipo string, numero string, anio int, url_sii string"
-    landing, target = tmp_path / "in", str(tmp_path / "out")
+    names = [x.split()[0] for x in schema.split(", ")]
+    landing, target, log = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "log")
     landing.mkdir()
 
-    def land(name, rows):
-        (landing / name).write_text("\n".join(json.dumps(dict(zip(["seq", "hash_md5", "tipo", "numero", "anio", "url_sii"], r, strict=True))) for r in rows))
-        query = incremental.start_ingest(spark, str(landing), schema, target, str(tmp_path / "cp"))
+    def land(file, rows):
+        if file:
+            (landing / file).write_text("\n".join(json.dumps(dict(zip(names, r, strict=True))) for r in rows))
+        query = incremental.start_ingest(spark, str(landing), schema, target, str(tmp_path / "cp"), log)
         query.awaitTermination(120)
-        assert incremental.status(query)["active"] is False
-        return sorted(r.seq for r in spark.read.parquet(target).collect())
-
-    assert land("1.json", [(1, "a", "c", "1", 2000, "u1"), (2, "a", "c", "2", 2000, "u2"), (3, "b", "c", "3", 2000, "u3")]) == [1, 3]
-    assert land("2.json", [(4, "z", "c", "1", 2000, "u9"), (5, "y", "o", None, None, "u3"), (6, "b", "o", None, None, "u8"), (7, "n", "o", None, None, "u7")]) == [1, 3, 7]
+        assert query.exception() is None and incremental.status(query)["active"] is False
+        said = {r.seq: r.outcome for r in spark.read.parquet(log).collect()} if (tmp_path / "log").exists() else {}
+        return sorted(r.seq for r in spark.read.parquet(target).collect()), said, sum(p["numInputRows"] for p in query.recentProgress)
+
+    assert land("1.json", [(1, "a", "c", "1", 2000, "u1"), (2, "a", "c", "2", 2000, "u2"), (3, "b", "c", "3", 2000, "u3")])[:2] == ([1, 3], {1: "nuevo", 2: "repetido", 3: "nuevo"})
+    have, said, _ = land("2.json", [(4, "z", "c", "1", 2000, "u9"), (5, "y", "o", None, None, "u3"), (6, "b", "o", None, None, "u8"), (7, "n", "o", None, None, "u7")])
+    assert have == [1, 3, 7] and [said[k] for k in (4, 5, 6, 7)] == ["identidad", "url", "hash", "nuevo"]
+    # what was turned away left no key behind: z, u9 and the identity of 2 are free
+    have, said, read = land("3.json", [(8, "z", "c", "8", 2000, "u9"), (9, "w", "c", "2", 2000, "u2"), (10, None, "o", None, None, None)])
+    assert have == [1, 3, 7, 8, 9, 10] and said[8] == said[9] == said[10] == "nuevo"
+    assert read <= 3 + 1  # the landing and what the second run stored
+    assert land(None, [])[0] == have
+    for k in range(40):
+        (landing / f"more{k}.json").write_text(json.dumps(dict(zip(names, (100 + k, f"h{k}", "o", None, None, f"v{k}"), strict=True))))
+    assert len(land(None, [])[0]) == len(have) + 40
+    assert land("last.json", [(200, "h3", "o", None, None, "x")])[1:] == ({**said, **{100 + k: "nuevo" for k in range(40)}, 200: "hash"}, 1 + 40)
+
+
+def test_stream_batch_again(spark, tmp_path, monkeypatch):
+    """A batch that failed after it had stored its rows is run again and adds nothing twice."""
+    schema = "seq int, hash_md5 string, tipo string, numero string, anio int, url_sii string"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"seq": 1, "hash_md5": "a", "tipo": "o", "url_sii": "u1"}\n{"seq": 2, "hash_md5": "b", "tipo": "o", "url_sii": "u2"}')
+    args = (str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp"))
+    incremental.start_ingest(spark, *args).awaitTermination(120)
+    commits = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"))
+    for f in commits:
+        f.unlink()
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    again = incremental.start_ingest(spark, *args)
+    again.awaitTermination(120)
+    assert again.exception() is None and sorted(r.seq for r in spark.read.parquet(args[2]).collect()) == [1, 2]
 
 
 def test_stream_daily_counts(spark, tmp_path):
