@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafquarry.functions import refs, text
 from leafquarry.operators import catalog, ingest, retrieval
 from leafquarry.operators.catalog import Search
+from leafquarry.operators.segments import SegmentedIndex
 
 FIELDS = ("titulo", "materia", "subtema", "contenido", "resumen", "palabras_clave", "leyes_citadas", "articulos_clave")
 
@@ -30,18 +31,15 @@ class Engine:
         return cls(spark, *[spark.read.parquet(f"{folder}/{n}") for n in ("docs", "articulos_idx", "judicial_docs", "judicial_relaciones")])
 
     @cached_property
-    def scorer(self) -> retrieval.Scan | retrieval.Stored:
-        """One pass over the texts for each question, until there are stored postings."""
+    def scorer(self) -> retrieval.Scan | SegmentedIndex:
+        """One pass over the texts for each question, until there is an index (``use_postings``)."""
         return retrieval.Scan(self.docs, tuple(self.fields))
 
     def use_postings(self, path: str, rebuild: bool = False) -> Engine:
-        """Keeps the postings on disk, sorted by term so that a question's terms prune row groups. Documents are dealt
-        within a term too, so that a frequent one doesn't fill a partition."""
+        """Ranks by the index in segments at path (``segments.SegmentedIndex``), whose ``commit`` and ``merge`` keep it up."""
+        self.scorer = SegmentedIndex(self.spark, path, self.fields)
         if rebuild:
-            made = retrieval.postings(self.docs, self.fields)
-            made.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-            retrieval.lengths(self.docs, self.fields).write.mode("overwrite").parquet(f"{path}/lengths")
-        self.scorer = retrieval.Stored(*[self.spark.read.parquet(f"{path}/{n}") for n in ("postings", "lengths")])
+            self.scorer.cleared().commit(self.docs)
         return self
 
     def matches(self, s: Search) -> DataFrame:

@@ -155,7 +155,9 @@ class Scan:
 
 
 def ranked(scorer: Stored | Scan, question: str, most: int = CANDIDATES) -> DataFrame:
-    """The best documents of a question, kept."""
+    """The best documents of a question, kept. An index in segments skips what can't be among them."""
+    if hasattr(scorer, "best"):
+        return scorer.best(parse(question).phrases, most)
     return kept(scorer.scores(parse(question).phrases).orderBy(F.round("rank", 9), "doc_id").limit(most), "ranking")
 
 

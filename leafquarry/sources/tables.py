@@ -22,16 +22,20 @@ def _own_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="leafquarry-tables-")
 
 
-def kept(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where everything
-    runs on this machine) and read back, so that what follows reads it instead of computing it again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where everything runs on
+    this machine)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(root or _own_folder()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{(root or _own_folder()).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the shared folder and read back, so that what follows reads it instead of computing it again."""
+    path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lookup(df: DataFrame, column: str, value: object) -> DataFrame:
