@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafquarry.functions import dates, records, refs, text
@@ -10,7 +11,7 @@ from leafquarry.operators.resolver import references
 from leafquarry.plans.ingest import shown
 from leafquarry.plans.relational import q
 from leafquarry.plans.scalars import on_docs
-from leafquarry.sources import html_index, pdf
+from leafquarry.sources import html_index, page_elements, pdf
 
 c = F.col
 
@@ -170,11 +171,52 @@ made(
     lambda: shown(html_index.index_rows(index_page(), F.lit("http://h/a/i.htm"), F.lit(2015).cast("bigint"))),
     f"{N} || ',Sobre ' || referencia || ',' || {DAY} || ',http://h/a/circu' || {N} || '.pdf|' || {X} || ',,2015-01-01,http://h/a/x/' || {N} || '.htm'",
 )
-made("s14_resolutions", lambda: bars(html_index.resolution_numbers(s('<a href="/r/reso', n, '.pdf">x</a> ', c("referencia"), '<a href="reso', x, '.PDF">'))), f"{N} || '|' || {X}")
-made(
-    "s16_detail_pdf",
-    lambda: html_index.detail_pdf(pick(s('<iframe src="../', n, '.pdf?x=1">'), s("var u='/", n, ".pdf';"), "no"), F.lit("http://h/a/b.htm")),
-    f"CASE id % 3 WHEN 0 THEN 'http://h/a/../' || {N} || '.pdf?x=1' WHEN 1 THEN 'http://h/' || {N} || '.pdf' END",
+
+
+def index_pages(t, item):
+    """Index pages of 200 documents' items each, in the order of ids, with what such pages have besides."""
+    rows = t.docs.where("anio IS NOT NULL").select((F.floor(c("id") / 200)).alias("page"), "id", s(*item).alias("item"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "item"))), lambda x: x["item"]), "\n")
+    return rows.groupBy("page").agg(s("<html><head><style>h5 > a</style></head><body><table><tr><td><!-- <a href=no>Circular N 0</a> -->", body, "<script>var x = '<a>';</script></table>").alias("html"))
+
+
+def head():
+    return s("Circular N° ", c("id"), " del ", c("id") % 28 + 1, " de marzo de ", c("anio"))
+
+
+def escaped(x):
+    return F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+PAGE_BASE = "http://h/a/i.htm"
+SQUEEZED = r"trim(regexp_replace(coalesce(titulo, ''), '\s+', ' ', 'g'))"
+DATED = "anio || '-03-' || lpad(CAST(id % 28 + 1 AS VARCHAR), 2, '0')"
+COLUMNS = ("page", "numero", "titulo", "descripcion", "fecha", "url_pdf", "url_detalle")
+q("s11_modern_pages", f"""SELECT id // 200 AS page, CAST(id AS VARCHAR) AS numero, 'Circular N° ' || id || ' del ' || (id % 28 + 1) || ' de marzo de ' || anio AS titulo, {SQUEEZED} AS descripcion, {DATED} AS fecha,
+   CASE WHEN id % 2 = 0 THEN 'http://h/a/c' || id || '.pdf' END AS url_pdf, CASE WHEN id % 2 = 1 THEN 'http://h/a/c' || id || '.htm' END AS url_detalle FROM docs WHERE anio IS NOT NULL""")(
+    lambda t: page_elements.modern_rows(
+        page_elements.elements(index_pages(t, ('<h5 title="a > b"><b><a class=x href=\'c', c("id"), pick(".pdf", ".htm"), "'>", head(), "</a></b></h5> <p>", escaped(c("titulo")), "</p><p>more</p>"))), F.lit(PAGE_BASE), F.lit(1990)
+    ).select(*COLUMNS)
+)
+q("s12_legacy_pages", f"""SELECT id // 200 AS page, CAST(id AS VARCHAR) AS numero, 'Circular N° ' || id || ' del ' || (id % 28 + 1) || ' de marzo de ' || anio AS titulo, trim('sobre ' || {SQUEEZED}) AS descripcion, {DATED} AS fecha,
+   CASE WHEN id % 2 = 0 THEN 'http://h/a/c' || id || '.pdf' END AS url_pdf, CASE WHEN id % 2 = 1 THEN 'http://h/a/c' || id || '.htm' END AS url_detalle FROM docs WHERE anio IS NOT NULL""")(
+    lambda t: page_elements.legacy_rows(
+        page_elements.elements(index_pages(t, ("<a href=o.htm>otro</a><a name=y>Circular N° 5</a><a href=c", c("id"), pick(".pdf", ".htm"), ">", head(), "</a> <i>sobre</i> ", escaped(c("titulo")), "<br>"))), F.lit(PAGE_BASE), F.lit(1990)
+    ).select(*COLUMNS)
+)
+q("s14_resolutions", f"""SELECT id // 200 AS page, CAST(id AS VARCHAR) AS numero, 'Res. ' || id AS titulo, trim('Res. ' || id || regexp_replace(coalesce(titulo, ''), '^\\s+|\\s+$', '', 'g')) AS descripcion, '1990-01-01' AS fecha FROM docs WHERE anio IS NOT NULL""")(
+    lambda t: page_elements.resolution_rows(page_elements.elements(index_pages(t, ('<ul><li><a href="/r/reso', c("id"), '.PDF">Res. ', c("id"), "</a>", escaped(c("titulo")), "</ul><a href=x.pdf>x</a>"))), F.lit(1990)).select(
+        "page", "numero", "titulo", "descripcion", "fecha"
+    )
+)
+q("s16_detail_pdf", "SELECT id // 200 AS page, 'http://h/a/' || min_by(id, id) || '.pdf?x=1' AS url_pdf FROM docs WHERE anio IS NOT NULL AND id % 7 = 3 GROUP BY 1")(
+    lambda t: page_elements.detail_pdfs(
+        page_elements.elements(index_pages(t, ("<a href=x.htm>", escaped(c("titulo")), "</a><iframe title='a.pdf > b' src=", c("id"), F.when(c("id") % 7 == 3, ".pdf?x=1").otherwise(".html"), "></iframe>"))), F.lit(PAGE_BASE), ["page"]
+    )
+)
+q("s15_links_of_pages", r"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, h AS href, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text
+   FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS x, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>'), 1) AS i FROM pages)""")(
+    lambda t: page_elements.elements(t.raw("pages")).where("tag = 'a'").select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("n")) - 1).cast("bigint").alias("place"), "href", text.collapse(c("text")).alias("text"))
 )
 made("s17_prefixes", lambda: bars(html_index.prefixes(s("circu0", x, "a"))), f"'0' || {X} || '|' || {X} || '|circu0' || {X}")
 made(
