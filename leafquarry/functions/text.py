@@ -222,6 +222,26 @@ def ocr_score(c: Column) -> Column:
     return F.when(c == "", 0).otherwise(words * 4 + 1 - asked * 2 - lost * 4)
 
 
+#: The score from which no further variant is looked at.
+ENOUGH = 350
+
+
+def best_variant(variants: Column, enough: int = ENOUGH) -> Column:
+    """Variante (place from 0), puntaje, texto of the best of several readings of a page: the first that scores ``enough``, else the
+    best, of equal ones the first. Once one is good enough the others aren't scored. Null without any variant."""
+
+    def step(best: Column, v: Column) -> Column:
+        # the score is let into the fold as an array of one, so that it is computed once
+        scored = F.transform(F.array(v["text"]), lambda t: F.struct(v["n"].alias("n"), ocr_score(F.coalesce(t, F.lit(""))).cast("int").alias("score"), t.alias("text")))
+        better = F.element_at(scored, 1)
+        return F.when(best["score"] >= enough, best).otherwise(F.element_at(F.transform(scored, lambda x: F.when(best["score"].isNull() | (x["score"] > best["score"]), x).otherwise(best)), 1))
+
+    none = F.lit(None).cast("struct<n:int,score:int,text:string>")
+    numbered = F.transform(variants, lambda t, n: F.struct(n.alias("n"), t.alias("text")))
+    found = F.aggregate(numbered, none, step)
+    return F.when(found.isNotNull(), F.struct(found["n"].alias("variante"), found["score"].alias("puntaje"), found["text"].alias("texto")))
+
+
 # What Windows-1252 has in the places 128 to 159; unused places are lost characters.
 HIGH = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
 

@@ -6,13 +6,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafquarry.functions import refs
 from leafquarry.functions.text import clean_paragraphs, evidence, strip
 from leafquarry.operators.catalog import latest_by
 from leafquarry.operators.resolver import references
+from leafquarry.sources.tables import kept
 
 #: Kinds whose documents are only known by hash, not by kind, number and year.
 BY_HASH_ONLY = ("oficio", "judicial")
@@ -51,6 +52,41 @@ def upserted(current: DataFrame, batch: DataFrame) -> DataFrame:
     return current.join(changed.select(*identity), identity, "left_anti").select(*columns).unionByName(changed).unionByName(fresh.select(*columns))
 
 
+def upsert_into(spark: SparkSession, path: str, batch: DataFrame) -> dict[str, int]:
+    """K01, K05, K18 on a stored table that is partitioned by tipo and anio: ``upserted``, but only partitions in which
+    something changes are rewritten, by dynamic overwrite; the files of all others keep their names.
+
+    Of the whole table the batch is met with keys and hashes alone; whole rows are read of the touched partitions only. Returns
+    the numbers of changed and new rows and of touched partitions. A batch without good rows touches nothing; repeating a batch
+    changes nothing but file names of its partitions. One writer at a time."""
+    identity = ["tipo", "numero", "anio"]
+    good = with_defaults(batch).filter(reject_reason().isNull())
+    current = spark.read.parquet(path)
+    keys = current.filter(~F.col("tipo").isin(*BY_HASH_ONLY)).select(*identity).dropna()
+    named = ~F.col("tipo").isin(*BY_HASH_ONLY) & F.col("numero").isNotNull() & F.col("anio").isNotNull()
+    ids = good.select("seq", "hash_md5", *identity)
+    last = latest_by(ids.filter(named), identity, [F.col("seq").desc()])
+    changed = last.join(keys, identity, "left_semi").withColumn("what", F.lit("changed"))
+    fresh = last.join(keys, identity, "left_anti").unionByName(ids.filter(F.coalesce(~named, F.lit(True))))
+    fresh = latest_by(fresh.join(current.select("hash_md5"), "hash_md5", "left_anti"), ["hash_md5"], [F.col("seq")]).withColumn("what", F.lit("new"))
+    plan = kept(changed.unionByName(fresh), "upsert-plan")
+    counts = {r.what: r.n for r in plan.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()}
+    touched = plan.select("tipo", "anio").distinct()
+    there = touched.collect()  # no more than the table has partitions
+    if there:
+        columns = [c for c in current.columns if c != "id"]
+        known = [r for r in there if r.anio is not None]
+        here = F.struct("tipo", "anio").isin(*[F.struct(F.lit(r.tipo), F.lit(r.anio)) for r in known]) if known else F.lit(False)
+        old = current.filter(F.coalesce(here, F.lit(False)))  # the filter prunes partitions
+        if loose := [r.tipo for r in there if r.anio is None]:
+            old = old.unionByName(current.filter(F.col("anio").isNull() & F.col("tipo").isin(*loose)))
+        old = old.select(*columns).join(plan.filter("what = 'changed'").select(*identity), identity, "left_anti")
+        new = good.join(plan.select("seq"), "seq", "left_semi").select(*columns)
+        rows = kept(old.unionByName(new), "upsert-rows")  # what is overwritten can't be read meanwhile
+        rows.repartition("tipo", "anio").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tipo", "anio").parquet(path)
+    return {"changed": counts.get("changed", 0), "new": counts.get("new", 0), "partitions": len(there)}
+
+
 def last_write(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key the batch's last row (by seq), else the current one."""
     new = latest_by(batch, keys, [F.col("seq").desc()]).select(*current.columns)

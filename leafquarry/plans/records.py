@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafquarry.functions import records, refs
-from leafquarry.functions.text import json_list, readable_html
+from leafquarry.functions.text import best_variant, json_list, readable_html
 from leafquarry.operators import ingest
 from leafquarry.operators.resolver import references
+from leafquarry.plans.domain import Tables
 from leafquarry.plans.relational import q
 from leafquarry.plans.scalars import cases
+from leafquarry.sources import api_source
 from leafquarry.sources import tables as src
 
 c = F.col
@@ -73,6 +75,32 @@ q("e12_relations", "SELECT id, 'Ley ' || CAST(id % 5 AS VARCHAR) AS cuerpo_norma
         "items",
     )
 )
+
+
+def answers(t: Tables):
+    """Each conversation as a service's answer: a list, an envelope, one with errors, one that is broken off, or none."""
+    turn = F.to_json(F.struct("turn", "role", "text"))
+    rows = t.raw("conversations").select("conv_id", "turn", turn.alias("item"), c("role"))
+    data = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "item"))), lambda x: x["item"]), ",")
+    listed = F.concat(F.lit("["), data, F.lit("]"))
+    form = c("conv_id") % 5
+    errors = F.concat(F.lit('{"metaData":{"errors":[{"codigo":"'), c("conv_id").cast("string"), F.lit('"},"otro"]},"data":'), listed, F.lit("}"))
+    body = F.when(form == 0, errors).when(form == 1, listed).when(form == 2, F.substr(listed, F.lit(1), F.length(listed) - 1)).when(form == 3, F.concat(F.lit(' {"metaData":{"errors":null},"data":'), listed, F.lit("}")))
+    return rows.groupBy("conv_id").agg(body.alias("body"))
+
+
+q("s07_answers", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS n, turn, role, text, CAST(NULL AS VARCHAR) AS error FROM conversations WHERE conv_id % 5 IN (1, 3)
+   UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL, unnest(['{"codigo":"' || conv_id || '"}', 'otro']) FROM conversations WHERE conv_id % 5 = 0
+   UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, NULL, 'no es JSON' FROM conversations WHERE conv_id % 5 = 2""")(
+    lambda t: api_source.landed(answers(t), "body", "conv_id").withColumn("i", F.from_json("item", "turn bigint, role string, text string")).select("conv_id", "n", "i.turn", "i.role", "i.text", "error")
+)
+SCORE = r"""CASE WHEN s = '' THEN 0 ELSE 4 * len(regexp_extract_all(s, '[A-Za-zÀ-ſ0-9]{3,}')) + 1 - 2 * (length(s) - length(replace(s, '?', ''))) - 4 * (length(s) - length(replace(s, chr(65533), ''))) END"""
+q("t13_best_variant", rf""", v AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM conversations),
+   w AS (SELECT *, {SCORE} AS score FROM v),
+   o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN score >= 250 THEN 0 ELSE 1 END, CASE WHEN score >= 250 THEN n ELSE -score END, n) AS k FROM w)
+   SELECT conv_id, CAST(n AS INT) AS variante, CAST(score AS INT) AS puntaje, text AS texto FROM o WHERE k = 1""")(
+    lambda t: t.raw("conversations").groupBy("conv_id").agg(best_variant(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), 250).alias("b")).select("conv_id", "b.*")
+)
 q("s15_discovered", "SELECT anio, CAST(id % 40 AS VARCHAR) AS base, string_agg(DISTINCT CASE id % 3 WHEN 0 THEN 'htm' WHEN 1 THEN 'pdf' ELSE 'doc' END, ',' ORDER BY CASE id % 3 WHEN 0 THEN 'htm' WHEN 1 THEN 'pdf' ELSE 'doc' END) AS extensiones, (list(titulo ORDER BY length(titulo) DESC, id))[1] AS titulo FROM docs GROUP BY anio, id % 40")(
     lambda t: records.discovered(
         t.docs.select("anio", c("id").alias("seq"), F.concat(F.lit("/a/b/"), (c("id") % 40).cast("string"), F.element_at(F.array(F.lit(".HTM"), F.lit(".pdf"), F.lit(".doc")), (c("id") % 3 + 1).cast("int")), F.lit("?x=1")).alias("href"), "titulo", F.lit("d").alias("descripcion"))

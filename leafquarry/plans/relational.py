@@ -10,6 +10,7 @@ from leafquarry.operators import catalog as op
 from leafquarry.plans.domain import LAST_YEAR, TODAY, Tables, sql
 from leafquarry.plans.registry import query
 from leafquarry.sources import tables as src
+from leafquarry.streaming import windows
 
 
 def q(name: str, body: str | None = None):
@@ -235,3 +236,14 @@ q("w05_progress_buffer", "SELECT event_id, CASE WHEN estado = 'ok' THEN 'OK' ELS
 q("w06_running_totals", "SELECT event_id, count(*) FILTER (estado = 'ok') OVER (PARTITION BY tipo ORDER BY fecha, event_id ROWS UNBOUNDED PRECEDING) AS ok_so_far FROM scraper_log")(
     lambda t: t.scraper_log.select("event_id", F.count(F.when(c("estado") == "ok", 1)).over(Window.partitionBy("tipo").orderBy("fecha", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("ok_so_far"))
 )
+
+STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+q("w07_sessions", """, e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+   g AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+   SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS last_before, count(*) AS n FROM g GROUP BY user_id, g""")(
+    lambda t: windows.sessions(t.raw("events"), "ts", ["user_id"], "30 minutes").withColumns({k: F.date_format(k, STAMP) for k in ("start", "last_before")})
+)
+q("w07_sliding", """, e AS (SELECT event_type, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS start FROM events)
+   SELECT event_type, CAST(start AS DATE) AS start, count(*) AS n FROM e GROUP BY ALL""")(
+    lambda t: windows.sliding(t.raw("events"), "ts", ["event_type"], "7 days", "1 day").withColumn("start", c("start").cast("date"))
+)
