@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,17 +43,37 @@ ARTICLE = (
 ARTICLE_WORD = r"(?:art(?:[ií]culo)?s?\.?)\s*"
 MENTION = rf"(?iU){ARTICLE_WORD}({ARTICLE})"
 
-REF = "struct<cuerpo:string,articulo:string,clave:string,label:string,slug:string,ambigua:boolean>"
 
 
-def mentions_law(text: Column, code: str) -> Column:
-    return text.rlike("(?iU)" + "|".join(MENTIONS[code]))
+#: What stands for a code alone, between word boundaries; the longer patterns of each code with a run of letters or digits that any match has.
+ALONE = {p[2:-2]: code for code, ps in MENTIONS.items() for p in ps if p.startswith(r"\b")}
+
+
+def _surely(pattern: str) -> str:
+    """The longest run of letters or digits in a pattern that isn't optional."""
+    plain = re.sub(r"\(\?:.*?\)\?|\[[^\]]*\]\??|\\[a-z]|\\?.\?", " ", pattern)
+    return max(re.findall(r"[a-z0-9]+", plain), key=lambda x: (len(x), x.isdigit()))
+
+
+PHRASES = [(code, p, _surely(p)) for code, ps in MENTIONS.items() for p in ps if not p.startswith(r"\b")]
 
 
 def law_codes(text: Column) -> Column:
-    """The codes that a text mentions, in their order."""
-    t = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*[F.when(mentions_law(t, c), F.lit(c)) for c in CODES]))
+    """The codes that a text mentions, in their order. One scan finds what stands for codes alone; a longer pattern is tried only
+    where the text has its surest part, which is found without regular expressions."""
+    lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ſ"), F.lit("s"))
+    alone = rf"(?U)\b({'|'.join(ALONE)})\b"
+
+    def found(t: Column) -> Column:
+        return F.transform(F.array(F.regexp_extract_all(t, F.lit(alone), 1)), lambda names: F.array_compact(F.array(*[F.when(mentioned(t, names, code), F.lit(code)) for code in CODES])))
+
+    def mentioned(t: Column, names: Column, code: str) -> Column:
+        short = [F.array_contains(names, name) for name, c in ALONE.items() if c == code]
+        long = [F.contains(t, F.lit(sure)) & t.rlike("(?U)" + p) for c, p, sure in PHRASES if c == code]
+        return reduce(lambda x, y: x | y, short + long)
+
+    # bound by arrays of one, so that the text is lowered and scanned once
+    return F.flatten(F.flatten(F.transform(F.array(lower), found)))
 
 
 def law_code(c: Column) -> Column:
@@ -112,7 +133,7 @@ def key_of(ref: Column) -> Column:
 
 def distinct_refs(refs: Column) -> Column:
     """The first of each key."""
-    return first_of_each(refs, key_of, REF)
+    return first_of_each(refs, key_of)
 
 
 def exact(refs: Column) -> Column:

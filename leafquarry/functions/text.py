@@ -171,15 +171,14 @@ def without_repeats(lines: Column) -> Column:
     return F.transform(F.filter(pairs, lambda p: p["x"].isNotNull() & ~p["x"].eqNullSafe(p["before"])), lambda p: p["x"])
 
 
-def first_of_each(items: Column, key: Callable[[Column], Column], kind: str) -> Column:
-    """The first item of each key, in order; kind: the items' SQL type. Items are evaluated once."""
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.array().cast("array<string>").alias("keys"))
-
-    def step(s: Column, x: Column) -> Column:
-        more = F.struct(F.array_append(s["out"], x).alias("out"), F.array_append(s["keys"], key(x)).alias("keys"))
-        return F.when(F.array_contains(s["keys"], key(x)), s).otherwise(more)
-
-    return F.aggregate(items, start, step, lambda s: s["out"])
+def first_of_each(items: Column, key: Callable[[Column], Column]) -> Column:
+    """The first item of each key, in order. Items are evaluated once, sorted by key, and what begins a key is sorted back by place."""
+    placed = F.sort_array(F.transform(items, lambda x, n: F.struct(key(x).alias("key"), n.alias("n"), x.alias("x"))))
+    # paired with the one before by place, as a lambda that indexed the array would evaluate it for each item
+    before = F.concat(F.array(F.lit(None).cast("struct<key:string>")), F.transform(placed, lambda p: F.struct(p["key"].alias("key"))))
+    pairs = F.zip_with(placed, before, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    firsts = F.filter(pairs, lambda y: y["p"].isNotNull() & (y["q"].isNull() | ~y["p"]["key"].eqNullSafe(y["q"]["key"])))
+    return F.transform(F.sort_array(F.transform(firsts, lambda y: F.struct(y["p"]["n"].alias("n"), y["p"]["x"].alias("x")))), lambda y: y["x"])
 
 
 def html_body(c: Column, title: Column, subject: Column) -> Column:
@@ -379,7 +378,7 @@ def evidence(c: Column, most: int = 3) -> Column:
     """The first paragraphs of 120 characters and more, distinct by their first 160, cut at 500, labelled."""
     text = clean_paragraphs(c)
     parts = F.filter(F.transform(F.split(text, r"\n{2,}"), collapse), lambda x: F.length(x) >= 120)
-    first = first_of_each(parts, lambda x: F.substring(x, 1, 160), "string")
+    first = first_of_each(parts, lambda x: F.substring(x, 1, 160))
     return F.transform(F.slice(first, 1, most), lambda x, i: F.struct(F.concat(F.lit("Cita "), (i + 1).cast("string")).alias("label"), F.substring(x, 1, 500).alias("excerpt")))
 
 
@@ -395,7 +394,7 @@ def json_list(c: Column) -> Column:
 
 def unique_list(values: Column) -> Column:
     """White space collapsed, no empty ones, the first of each regardless of case."""
-    return first_of_each(F.filter(F.transform(values, collapse), lambda x: x != ""), F.lower, "string")
+    return first_of_each(F.filter(F.transform(values, collapse), lambda x: x != ""), F.lower)
 
 
 def slashes(c: Column) -> Column:

@@ -4,7 +4,7 @@ A text is cut into segments at line ends, semicolons and colons. Within a segmen
 and connectors in order; an article takes the next law if that comes before the next article and a connector ("de",
 "del") stands between, else the last law before it in the segment, else it is ambiguous. A law's name and an article's
 may run across a line end; such a mention belongs to the segment where it starts (the line end inside is masked before the
-cut). All of it works on arrays within a row: no shuffle, no Python.
+cut). All of it works on arrays within a row, in time linear in the text: no shuffle, no Python.
 """
 
 from __future__ import annotations
@@ -32,11 +32,20 @@ INNER_BREAK = rf"(?iU)(?:{refs.ARTICLE_WORD}{refs.ARTICLE}|{LAW})"
 
 def _mask(text: Column) -> Column:
     """Line ends inside mentions masked: texts without such mentions, nearly all, are left as they are."""
-    spans = F.filter(F.regexp_extract_all(text, F.lit(INNER_BREAK), 0), lambda m: F.contains(m, F.lit("\n")))
-    return F.aggregate(spans, text, lambda t, m: F.replace(t, m, F.replace(m, F.lit("\n"), F.lit(MASK))))
+    spans = F.regexp_extract_all(text, F.lit(INNER_BREAK), 0)
+    masked = F.transform(spans, lambda m: F.replace(m, F.lit("\n"), F.lit(MASK)))
+    between = F.split(text, INNER_BREAK, -1)
+    whole = F.array_join(F.flatten(F.zip_with(between, F.concat(masked, F.array(F.lit(""))), lambda t, m: F.array(t, m))), "")
+    return F.when(F.exists(spans, lambda m: F.contains(m, F.lit("\n"))), whole).otherwise(text)
+
+
+#: A segment's tokens as letters: an article, one broken by a line end, a law and its code's place, a broken one, a connector.
+ARTICLE, BROKEN_ARTICLE, LAW_, BROKEN_LAW, LINK = "ABLMD"
 
 
 def _refs_of(segment: Column) -> Column:
+    """article, law of each mention. Tokens become a string of letters, in which expressions look ahead for the law that follows and pieces
+    that begin with a law tell the one before; a fold over them would copy all that it has found at each step."""
     tokens = F.transform(
         F.regexp_extract_all(segment, F.lit(TOKEN), 1),
         lambda t: F.struct(
@@ -45,37 +54,28 @@ def _refs_of(segment: Column) -> Column:
             F.contains(t, F.lit(MASK)).alias("broken"),
         ),
     )
-    start = F.struct(
-        F.lit(None).cast("string").alias("article"),
-        F.lit(None).cast("string").alias("before"),
-        F.lit(False).alias("open"),
-        F.lit(False).alias("linked"),
-        F.lit(None).cast("string").alias("last"),
-        F.array().cast("array<struct<article:string,law:string>>").alias("out"),
-    )
-
-    def settle(s: Column) -> Column:
-        """The pending article gets what it has: nothing further follows it."""
-        return F.when(s["article"].isNotNull(), F.array_append(s["out"], F.struct(s["article"].alias("article"), s["before"].alias("law")))).otherwise(s["out"])
-
-    def state(article: Column, before: Column, open_: Column, linked: Column, last: Column, out: Column) -> Column:
-        return F.struct(article.alias("article"), before.alias("before"), open_.alias("open"), linked.alias("linked"), last.alias("last"), out.alias("out"))
-
-    none = F.lit(None).cast("string")
-
-    def step(s: Column, t: Column) -> Column:
-        # open: the next law may still be the pending article's; a broken article ends after its segment and takes none
-        on_article = state(t["article"], s["last"], ~t["broken"], F.lit(False), s["last"], settle(s))
-        taken = s["article"].isNotNull() & s["open"] & s["linked"]
-        pair = F.struct(s["article"].alias("article"), t["law"].alias("law"))
-        known = F.when(t["broken"], s["last"]).otherwise(t["law"])
-        on_law = F.when(taken, state(none, none, F.lit(False), F.lit(False), known, F.array_append(s["out"], pair))).otherwise(
-            state(s["article"], s["before"], F.lit(False), s["linked"], known, s["out"])
+    places = F.create_map(*[F.lit(x) for pair in zip(refs.CODES, "123456789", strict=True) for x in pair])
+    codes = F.create_map(*[F.lit(x) for pair in zip("123456789", refs.CODES, strict=True) for x in pair])
+
+    def letters(t: Column) -> Column:
+        article = F.when(t["broken"], BROKEN_ARTICLE).otherwise(ARTICLE)
+        law = F.concat(F.when(t["broken"], BROKEN_LAW).otherwise(LAW_), F.element_at(places, t["law"]))
+        return F.when(t["article"].isNotNull(), article).when(t["law"].isNotNull(), law).otherwise(LINK)
+
+    def pairs(found: Column) -> Column:
+        spelled = F.array_join(F.transform(found, letters), "")
+        # a whole article takes the first law after it if only connectors stand between, and one at least
+        after = F.regexp_extract_all(spelled, F.lit(rf"[{ARTICLE}{BROKEN_ARTICLE}](?:(?<={ARTICLE})(?={LINK}+[{LAW_}{BROKEN_LAW}](.)))?"), 1)
+        pieces = F.split(spelled, f"(?={LAW_})", -1)
+        before = F.flatten(
+            F.transform(pieces, lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"[{ARTICLE}{BROKEN_ARTICLE}]"), 0), lambda _: F.when(p.startswith(LAW_), F.substring(p, 2, 1))))
         )
-        on_link = state(s["article"], s["before"], s["open"], F.lit(True), s["last"], s["out"])
-        return F.when(t["article"].isNotNull(), on_article).when(t["law"].isNotNull(), on_law).otherwise(on_link)
+        laws = F.zip_with(after, before, lambda x, y: F.element_at(codes, F.coalesce(F.nullif(x, F.lit("")), y)))
+        articles = F.transform(F.filter(found, lambda t: t["article"].isNotNull()), lambda t: t["article"])
+        return F.zip_with(articles, laws, lambda x, y: F.struct(x.alias("article"), y.alias("law")))
 
-    return F.aggregate(tokens, start, step, settle)
+    # bound by an array of one, so that the tokens are found once
+    return F.flatten(F.transform(F.array(tokens), pairs))
 
 
 def references(text: Column) -> Column:

@@ -48,6 +48,30 @@ q("k02_article_index", "SELECT id AS doc_id, CASE id % 3 WHEN 0 THEN 'LIR' WHEN
         t.docs.select("id", references(c("contenido")).alias("refs"), F.array(F.lit("FT"), F.element_at(F.array(F.lit("LIR"), F.lit("LIVS"), F.lit("CT")), (c("id") % 3 + 1).cast("int"))).alias("leyes")), "id", "leyes", "refs"
     )
 )
+
+
+def planted(t: Tables):
+    """Documents with references in the middle of their text: by a law's name, across a line end, without a law, and one twice."""
+    body = F.coalesce(c("contenido"), F.lit(""))
+    half = F.floor(F.length(body) / 2).cast("int")
+    article = (c("id") % 150 + 1).cast("string")
+    said = F.concat(
+        F.lit(". Conforme al artículo "), article, F.lit(" letra b de la Ley sobre Impuesto  a la Renta, y al ART. "), (c("id") % 90 + 1).cast("string"),
+        F.lit(" bis del Código\nTributario; véase el artículo 7; LIR: arts. "), article, F.lit(" letra B de la LIR;"),
+    )
+    return t.docs.select("id", F.concat(F.substr(body, F.lit(1), half), said, F.substr(body, half + 1)).alias("contenido"), c("contenido").alias("original"))
+
+
+# the text's own first sentence cites an article of its own
+OWN = "CASE id % 3 WHEN 0 THEN 'LIR' WHEN 1 THEN 'LIVS' ELSE 'CT' END || ':' || (id % 120 + 1)"
+q("e03_planted", f"SELECT id, array_to_string([{OWN}, 'LIR:' || (id % 150 + 1) || ' letra b', 'CT:' || (id % 90 + 1) || ' bis', 'AMB:7'], '|') AS claves FROM docs")(
+    lambda t: planted(t).select("id", F.array_join(F.transform(references(c("contenido")), refs.key_of), "|").alias("claves"))
+)
+q("k02_planted", f"""SELECT id AS doc_id, CASE id % 3 WHEN 0 THEN 'LIR' WHEN 1 THEN 'LIVS' ELSE 'CT' END AS ley, CAST(id % 120 + 1 AS VARCHAR) AS articulo FROM docs
+   UNION SELECT id, 'LIR', (id % 150 + 1) || ' letra b' FROM docs UNION SELECT id, 'CT', (id % 90 + 1) || ' bis' FROM docs
+   UNION SELECT id, 'LIVS', NULL FROM docs WHERE false""")(
+    lambda t: index_rows(planted(t).select("id", references(c("contenido")).alias("refs"), F.array().cast("array<string>").alias("leyes")), "id", "leyes", "refs")
+)
 q("k04_last_write", "SELECT blob, max(id) AS doc_id FROM (SELECT regexp_extract(url_sii, 'id=([^&]+)', 1) AS blob, id FROM docs) GROUP BY blob")(
     lambda t: ingest.last_write(
         t.docs.groupBy(refs.blob_id(c("url_sii")).alias("blob")).agg(F.min("id").alias("doc_id")), t.docs.select(refs.blob_id(c("url_sii")).alias("blob"), c("id").alias("doc_id"), c("id").alias("seq")), ["blob"]
@@ -129,7 +153,11 @@ q("s09_tree", "SELECT id, CAST(id % 7 AS VARCHAR) AS grupo FROM docs WHERE id %
     lambda t: external.tree_ids(t.docs.select(F.array(F.struct("id", F.lit("x").alias("nombre"), F.create_map((c("id") % 7).cast("string"), (1 - c("id") % 2).cast("int")).alias("cells"))).alias("body")))
 )
 q("s16_page_links", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS INT) AS n FROM pages")(lambda t: t.raw("pages").select("page_id", F.size(html_index.links(c("html"), c("url"))).alias("n")))
-q("t06_pages_to_text")(lambda t: t.raw("pages").select("page_id", html_to_text(c("html")).alias("text")))
+BREAKS = r"regexp_replace(regexp_replace(regexp_replace(html, '<br ?/?>', chr(10), 'g'), '</p\s*>', chr(10) || chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
+for reference, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+    BREAKS = f"replace({BREAKS}, '{reference}', '{letter}')"
+HTML_TEXT = r"SELECT {} , regexp_replace(regexp_replace(regexp_replace(" + BREAKS.replace("{", "{{").replace("}", "}}") + r", '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS {} FROM pages"
+q("t06_pages_to_text", HTML_TEXT.format("page_id", "text"))(lambda t: t.raw("pages").select("page_id", html_to_text(c("html")).alias("text")))
 cases("s21_file_keys", [("circular_2001_007.pdf", "circular|2001|7"), ("circular_historica_1999_circu28_scan.pdf", "circular|1999|28"), ("judicial_2020_ROL_1-2_id55.PDF", "judicial_sii|2020|55"), ("x.pdf", None)], audit.file_keys)
 cases("s04_index_urls", [("http://h", 1998, "http://h/1998/indcir1998.htm|http://h/1998/indcir1998.html|http://h/1998/indcir98.htm|http://h/1998/indcir98.html"), ("http://h", 2003, "http://h/2003/indcir2003.htm|http://h/2003/indcir2003.html")], lambda b, y: F.array_join(html_index.index_urls(b, y), "|"))
 MODERN = '<h5><a href="circu5.pdf">Circular N° 5 del 3 de marzo de 2015</a></h5><p>Sobre algo</p><h5><a href="x/y.htm">Circular N°6</a></h5>'

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafquarry.functions import dates, records, refs, text
 from leafquarry.operators import audit
 from leafquarry.operators.resolver import references
-from leafquarry.plans.ingest import shown
+from leafquarry.plans.ingest import HTML_TEXT, shown
 from leafquarry.plans.relational import q
 from leafquarry.plans.scalars import on_docs
 from leafquarry.sources import html_index, page_elements, pdf
@@ -60,6 +62,18 @@ def made(name, make, body):
     on_docs(name, {"result": lambda: make().cast("string")}, f"SELECT id, {body} AS result FROM docs")
 
 
+def words():
+    """The words of the title."""
+    return F.regexp_extract_all("titulo", F.lit(r"(\S+)"), 1)
+
+
+def in_the_middle(x, column="contenido"):
+    """The column's text with x in its middle."""
+    t = F.coalesce(F.col(column), F.lit(""))
+    half = F.floor(F.length(t) / 2).cast("int")
+    return s(F.substr(t, F.lit(1), half), x, F.substr(t, half + 1))
+
+
 def whole(name, table, key, make):
     """An operator over whole texts that SQL doesn't restate; tests hold it against stated cases."""
     q(name)(lambda t: (t.docs if table == "docs" else t.raw(table)).select(key, make().alias("result")))
@@ -76,7 +90,8 @@ made(
     lambda: bars(F.array_sort(refs.stem_keys(s(year, "_circu0", x, "_original")))),
     f"array_to_string(list_sort([{YEAR} || '_' || {X}, {YEAR} || '_circu0' || {X}, {YEAR} || '_circu0' || {X} || '_original', {X}, 'circu' || {X}]), '|')",
 )
-whole("e15_title_tokens", "docs", "id", lambda: bars(refs.title_tokens(c("contenido"))))
+FOLDED = "trim(regexp_replace(translate(lower(trim(contenido)), 'áéíóúüñº°№', 'aeiouunoon'), '[^a-z0-9]+', '_', 'g'), '_')"
+made("e15_title_tokens", lambda: bars(refs.title_tokens(c("contenido"))), f"array_to_string(list_filter(string_split({FOLDED}, '_'), lambda x: length(x) >= 4)[1:5], '|')")
 made(
     "e10_article_blob",
     lambda: bars(refs.article_blob(pick(s(n, ", ", x, " y ", Number(120, 401)), s("artículo ", n, " bis y art. ", x), ""))),
@@ -84,7 +99,7 @@ made(
 )
 made(
     "e18_court",
-    lambda: refs.court(pick(s(n, "ª Sala Corte Suprema"), "TRIBUNAL ORAL en lo Penal", s("Juzgado de Garantía de X", n), None)),
+    lambda: refs.court(in_the_middle(pick("1ª Sala  CORTE\nSuprema", "TRIBUNAL ORAL en lo Penal", s("Juzgado de Garantía de X", n), ""))),
     "CASE id % 4 WHEN 0 THEN 'Corte Suprema' WHEN 1 THEN 'Tribunal Oral en lo Penal' WHEN 2 THEN 'Juzgado de Garantia' ELSE 'Otros' END",
 )
 made(
@@ -117,33 +132,49 @@ made("e04_exact_refs", lambda: bars(F.transform(F.slice(refs.exact(references(c(
 
 # dates and numbers
 made("f02_months", lambda: dates.month(F.initcap(pick(*MONTHS))), f"lpad({M}, 2, '0')")
-made("f03_circular_date", lambda: dates.circular_date(pick(s(d, " de ", pick(*MONTHS), " del ", year), s(d, " de foo de ", year), ""), year.column()), f"CASE id % 3 WHEN 0 THEN {DAY} ELSE {YEAR} || '-01-01' END")
+made("f03_circular_date", lambda: dates.circular_date(F.concat(c("titulo"), in_the_middle(pick(s(" ", d, " de ", pick(*MONTHS), "\n del ", year), s(d, " de foo de ", year), ""), "resumen")), year.column()), f"CASE id % 3 WHEN 0 THEN {DAY} ELSE {YEAR} || '-01-01' END")
 made(
     "f05_office_date",
     lambda: dates.office_date(pick(s("ORD. N° ", n, ", DE ", padded(d, 2), ".", padded(m, 2), ".", year), s("x OFICIO ORDINARIO N°", n, " DE ", d, "/", m, "/", year), "nada"), n.cast("string")),
     f"CASE id % 3 WHEN 2 THEN NULL ELSE {DAY} END",
 )
-made("o04_leading_number", lambda: dates.leading_number(pick(s("0", n, "a"), s(" ", n), s("x", n), s("-", n, "b"))), f"CASE id % 4 WHEN 2 THEN '0' WHEN 3 THEN '-' || {N} ELSE {N} END")
+made("o04_leading_number", lambda: dates.leading_number(F.regexp_extract("contenido", r"(?s)\d.*", 0)), "CAST(CAST(regexp_extract(contenido, '[0-9]+') AS BIGINT) AS VARCHAR)")
 
 # texts
-made("t10_repairs", lambda: text.repaired(s("Ã¡rbol APLICACI?N&nbsp;x ", n)), f"'árbol APLICACION x ' || {N}")
+MANGLED = (("á", "Ã¡"), ("é", "Ã©"), ("ó", "Ã³"), ("ñ", "Ã±"), ("  ", "&nbsp; "))
+made(
+    "t10_repairs",
+    lambda: text.repaired(s(functools.reduce(lambda x, m: F.replace(x, F.lit(m[0]), F.lit(m[1])), MANGLED, c("contenido")), " APLICACI?N")),
+    "contenido || ' APLICACION'",
+)
 whole("t12_ocr", "docs", "id", lambda: text.ocr_text(c("contenido")))
-made("p18_noise", lambda: text.is_noise(pick("Home | x", s("[", n, "], [2]"), s("Circulares ", year), s("texto ", n), "  ")), "CASE id % 5 WHEN 3 THEN 'false' ELSE 'true' END")
+NOISY = r"x IN ('', 'Home', '|', 'Inicio') OR starts_with(x, 'Home |') OR regexp_matches(x, '^([[][0-9]+[]],?\s*)+$') OR regexp_matches(x, '(?i)^circulares\s+[0-9]{4}$')"
+made(
+    "p18_noise",
+    lambda: F.size(F.filter(F.split(s(c("contenido"), "\nHome | x\n\t[", n, "],  [2]\nCirculares  ", year, "\nInicio\n"), "\n", -1), text.is_noise)),
+    rf"""len(list_filter(list_transform(string_split(contenido || chr(10) || 'Home | x' || chr(10) || chr(9) || '[1],  [2]' || chr(10) || 'Circulares  2000' || chr(10) || 'Inicio' || chr(10), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: {NOISY}))""",
+)
 whole("p20_redundant", "docs", "id", lambda: text.is_redundant(c("titulo"), c("contenido")))
 whole("t16_preview", "docs", "id", lambda: text.preview(c("contenido"), c("titulo"), c("referencia")))
 whole("t17_summary", "docs", "id", lambda: text.display_summary(c("resumen"), c("contenido"), c("titulo"), c("referencia")))
 whole("t17_subject", "docs", "id", lambda: text.display_subject(c("contenido"), c("titulo")))
 q("t27_object", "SELECT event_id, replace(replace(props, ': ', ':'), ', ', ',') AS result FROM events")(lambda t: t.raw("events").select("event_id", F.to_json(text.first_object(s("x ", c("props"), " y"))).alias("result")))
-whole("t28_evidence", "docs", "id", lambda: text.evidence(F.replace(c("contenido"), F.lit("\n"), F.lit("\n\n"))))
-made("t26_json_list", lambda: bars(text.json_list(pick(s('["a","', n, '"]'), "{mal", None, "[]"))), f"CASE id % 4 WHEN 0 THEN 'a|' || {N} ELSE '' END")
-made("u05_unique", lambda: bars(text.unique_list(F.split(s("a, A ,b,,x ", n, ",a  c,X  ", n), ","))), f"'a|b|x ' || {N} || '|a c'")
+made(
+    "t28_evidence",
+    lambda: bars(F.transform(text.evidence(F.replace(c("contenido"), F.lit("\n"), F.lit(" \n\n"))), lambda x: s(x["label"], ":", x["excerpt"]))),
+    r"""CASE WHEN length(trim(regexp_replace(contenido, '\s+', ' ', 'g'))) >= 120 THEN 'Cita 1:' || substr(trim(regexp_replace(contenido, '\s+', ' ', 'g')), 1, 500) ELSE '' END""",
+)
+WORDS = r"regexp_extract_all(titulo, '\S+')"
+made("t26_json_list", lambda: bars(text.json_list(pick(F.to_json(words()), F.substring(F.to_json(words()), 1, 5), None, "[]"))), f"CASE id % 4 WHEN 0 THEN array_to_string({WORDS}, '|') ELSE '' END")
+UNIQUE = f"""(SELECT coalesce(string_agg(w, '%s' ORDER BY i), '') FROM (SELECT w, i, row_number() OVER (PARTITION BY lower(w) ORDER BY i) AS k FROM (SELECT unnest({WORDS}) AS w, generate_subscripts({WORDS}, 1) AS i)) WHERE k = 1)"""
+made("u05_unique", lambda: bars(text.unique_list(words())), UNIQUE % "|")
 made("u07_ids", lambda: F.array_join(F.array_distinct(F.array_compact(F.transform(F.split(s(n, ", 500,", n, ",x,501"), ","), lambda v: F.trim(v).try_cast("int")))).cast("array<string>"), ","), f"{N} || ',500,501'")
-made("t31_api_summary", lambda: text.api_summary(s("<p>a<br/>", n, "</p>\n c")), f"'a ' || {N} || ' c'")
-made("t22_keywords", lambda: refs.keywords(F.split(s("a|", n, "|A"), r"\|")), f"'a | ' || {N}")
+q("t31_api_summary", r"SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<br ?/?>|</?p>', ' ', 'g'), '\s+', ' ', 'g')), 1, 180) AS result FROM pages")(lambda t: t.raw("pages").select("page_id", text.api_summary(c("html")).alias("result")))
+made("t22_keywords", lambda: refs.keywords(words()), f"nullif({UNIQUE % ' | '}, '')")
 made("t11_decoding", lambda: text.best_decoding(F.encode(c("contenido"), "UTF-8")), "contenido")
 
 # pages
-whole("t06_html", "pages", "page_id", lambda: text.html_to_text(c("html")))
+q("t06_html", HTML_TEXT.format("page_id", "result"))(lambda t: t.raw("pages").select("page_id", text.html_to_text(c("html")).alias("result")))
 whole("t07_html", "pages", "page_id", lambda: text.readable_html(c("html")))
 whole("t08_html", "pages", "page_id", lambda: text.html_body(c("html"), text.html_title(c("html")), F.lit("")))
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
