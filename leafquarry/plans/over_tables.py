@@ -278,10 +278,15 @@ made("t24_record", historical, f"'Circular N' || {N} || ' de ' || {YEAR} || '|te
 
 
 def document_files(t):
-    """Each document as the least PDF file that holds its text (other than printable letters as question marks)."""
-    plain = F.regexp_replace("contenido", "[^ -~]", "?")
-    escaped = F.regexp_replace(plain, r"([()\\])", r"\\$1")
-    return t.docs.select("id", s("%PDF-1.4\n1 0 obj<</Type/Page>>endobj\n2 0 obj<<>>\nstream\nBT /F1 9 Tf 9 9 Td (", escaped, ") Tj ET\nendstream\nendobj\n%%EOF").cast("binary").alias("content"))
+    """Each document as a PDF file of one page that holds its whole text, in a composite font whose map to Unicode is the identity."""
+    map_ = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    before = (
+        "%PDF-1.5\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n"
+        "3 0 obj << /Type /Page /Parent 2 0 R /Contents 6 0 R /Resources << /Font << /F1 4 0 R >> >> >> endobj\n"
+        "4 0 obj << /Type /Font /Subtype /Type0 /Encoding /Identity-H /ToUnicode 5 0 R >> endobj\n"
+        f"5 0 obj << >> stream\n{map_}\nendstream endobj\n6 0 obj << >> stream\nBT /F1 9 Tf 9 9 Td <"
+    )
+    return t.docs.select("id", s(before, F.hex(F.encode("contenido", "UTF-16BE")), "> Tj ET\nendstream endobj\n%%EOF").cast("binary").alias("content"))
 
 
-q("m04_pdf_text", "SELECT id, CAST(1 AS INT) AS pages, regexp_replace(contenido, '[^ -~]', '?', 'g') AS text FROM docs")(lambda t: pdf.texts(document_files(t), "id").select("id", "pages", "text"))
+q("m04_pdf_text", r"SELECT id, CAST(1 AS INT) AS pages, trim(regexp_replace(contenido, '\n{2,}', chr(10), 'g'), chr(10)) AS text FROM docs")(lambda t: pdf.texts(document_files(t), "id").select("id", "pages", "text"))
