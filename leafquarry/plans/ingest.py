@@ -154,8 +154,16 @@ q("s09_tree", "SELECT id, CAST(id % 7 AS VARCHAR) AS grupo FROM docs WHERE id %
 )
 q("s16_page_links", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS INT) AS n FROM pages")(lambda t: t.raw("pages").select("page_id", F.size(html_index.links(c("html"), c("url"))).alias("n")))
 BREAKS = r"regexp_replace(regexp_replace(regexp_replace(html, '<br ?/?>', chr(10), 'g'), '</p\s*>', chr(10) || chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
-for reference, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-    BREAKS = f"replace({BREAKS}, '{reference}', '{letter}')"
+
+
+def unescaped_sql(body: str) -> str:
+    """The character references that the pages have, in DuckDB."""
+    for reference, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", chr(160)), ("&amp;", "&")):
+        body = f"replace({body}, '{reference}', '{letter}')"
+    return body
+
+
+BREAKS = f"replace({unescaped_sql(BREAKS)}, chr(160), ' ')"
 HTML_TEXT = r"SELECT {} , regexp_replace(regexp_replace(regexp_replace(" + BREAKS.replace("{", "{{").replace("}", "}}") + r", '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS {} FROM pages"
 q("t06_pages_to_text", HTML_TEXT.format("page_id", "text"))(lambda t: t.raw("pages").select("page_id", html_to_text(c("html")).alias("text")))
 cases("s21_file_keys", [("circular_2001_007.pdf", "circular|2001|7"), ("circular_historica_1999_circu28_scan.pdf", "circular|1999|28"), ("judicial_2020_ROL_1-2_id55.PDF", "judicial_sii|2020|55"), ("x.pdf", None)], audit.file_keys)

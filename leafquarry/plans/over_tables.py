@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafquarry.functions import dates, records, refs, text
 from leafquarry.operators import audit
 from leafquarry.operators.resolver import references
-from leafquarry.plans.ingest import HTML_TEXT, shown
+from leafquarry.plans.ingest import HTML_TEXT, shown, unescaped_sql
 from leafquarry.plans.relational import q
 from leafquarry.plans.scalars import on_docs
 from leafquarry.sources import html_index, page_elements, pdf
@@ -175,8 +175,14 @@ made("t11_decoding", lambda: text.best_decoding(F.encode(c("contenido"), "UTF-8"
 
 # pages
 q("t06_html", HTML_TEXT.format("page_id", "result"))(lambda t: t.raw("pages").select("page_id", text.html_to_text(c("html")).alias("result")))
-whole("t07_html", "pages", "page_id", lambda: text.readable_html(c("html")))
+READABLE = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')"
+READABLE = rf"regexp_replace(regexp_replace({READABLE}, '(?i)</t[dh]\s*>\s*<t[dh][^>]*>', ' | ', 'g'), '(?i)<br[^>]*>|</(p|div|li|tr|h[1-6])\s*>', chr(10), 'g')"
+READABLE = unescaped_sql(f"regexp_replace({READABLE}, '<[^>]+>', ' ', 'g')")
+READABLE = rf"regexp_replace(regexp_replace(regexp_replace({READABLE}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+READABLE = rf"SELECT page_id, regexp_replace(CASE WHEN regexp_matches(x, '(?i)circular\s+n') THEN substr(x, length(regexp_extract(x, '(?is)^(.*?)circular\s+n', 1)) + 1) ELSE x END, '^\s+|\s+$', '', 'g') AS {{}} FROM (SELECT page_id, {READABLE.replace('{', '{{').replace('}', '}}')} AS x FROM pages)"
+q("t07_html", READABLE.format("result"))(lambda t: t.raw("pages").select("page_id", text.readable_html(c("html")).alias("result")))
 whole("t08_html", "pages", "page_id", lambda: text.html_body(c("html"), text.html_title(c("html")), F.lit("")))
+q("s28_detail_text", f"SELECT * FROM ({READABLE.format('texto')}) WHERE length(texto) >= 80")(lambda t: t.raw("pages").select("page_id", text.readable_html(c("html")).alias("texto")).filter(F.length("texto") >= 80))
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 for reference, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
     TITLE = f"replace({TITLE}, '{reference}', '{letter}')"

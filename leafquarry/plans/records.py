@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafquarry.functions import records, refs
-from leafquarry.functions.text import best_variant, json_list, readable_html
+from leafquarry.functions.text import best_variant, json_list
 from leafquarry.operators import ingest
 from leafquarry.operators.resolver import references
 from leafquarry.plans.domain import Tables
@@ -108,7 +108,6 @@ q("s15_discovered", "SELECT anio, CAST(id % 40 AS VARCHAR) AS base, string_agg(D
 )
 q("s24_catalogue", "SELECT 'docs' AS tabla, TRUE AS fuente, FALSE AS organo")(lambda t: t.spark.range(1).select(F.lit("docs").alias("tabla"), *[F.lit(v).alias(k) for k, v in zip(("fuente", "organo"), src.has_columns(t.docs, ["fuente", "organo_emisor"]).values(), strict=True)]))
 q("s27_marker", "SELECT page_id, contains(lower(substr(html, 1, 5000)), 'reso') AS hit FROM pages")(lambda t: t.raw("pages").select("page_id", records.has_marker(c("html")).alias("hit")))
-q("s28_detail_text")(lambda t: t.raw("pages").select("page_id", readable_html(c("html")).alias("texto")).filter(F.length("texto") >= 80))
 q("k03_json_lists", "SELECT id, CASE WHEN id % 3 = 0 THEN 'a' || ',' || CAST(id AS VARCHAR) ELSE '' END AS items FROM docs")(
     lambda t: t.docs.select("id", F.array_join(json_list(F.when(c("id") % 3 == 0, F.to_json(F.array(F.lit("a"), c("id").cast("string")))).when(c("id") % 3 == 1, "{mal")), ",").alias("items"))
 )
