@@ -40,8 +40,8 @@ SMOOTH, PENALTY, ROUNDS = 1.0, 1.0, 12
 
 
 def shape_of(word: str) -> str:
-    """Runs of lower letters, capitals and digits as a, A and 9; other characters as they are, at most six in all."""
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word[:40])
+    """Runs of lower letters, capitals and digits as a, A and 9; other characters as they are, the first six such runs of the whole word."""
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word)
     return RUNS.sub(r"\1", kinds)[:6]
 
 
