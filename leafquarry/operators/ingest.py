@@ -35,21 +35,30 @@ def with_defaults(batch: DataFrame) -> DataFrame:
     return reduce(lambda d, x: d.withColumn(x[0], F.coalesce(F.col(x[0]), x[1]) if x[0] in d.columns else x[1]), defaults.items(), batch)
 
 
+def upsert_plan(current: DataFrame, good: DataFrame) -> DataFrame:
+    """seq, hash_md5, tipo, numero, anio, what: the records that count, as changed or new ones. Ranked and met as thin rows, without texts."""
+    identity = ["tipo", "numero", "anio"]
+    named = ~F.col("tipo").isin(*BY_HASH_ONLY) & F.col("numero").isNotNull() & F.col("anio").isNotNull()
+    ids = good.select("seq", "hash_md5", *identity)
+    last = latest_by(ids.filter(named), identity, [F.col("seq").desc()])
+    last = last.join(current.filter(named).select(*identity, F.lit(True).alias("known")).distinct(), identity, "left")
+    changed = last.filter("known").drop("known").withColumn("what", F.lit("changed"))
+    fresh = last.filter("known IS NULL").drop("known").unionByName(ids.filter(F.coalesce(~named, F.lit(True))))
+    fresh = latest_by(fresh.join(current.select("hash_md5"), "hash_md5", "left_anti"), ["hash_md5"], [F.col("seq")])
+    return changed.unionByName(fresh.withColumn("what", F.lit("new")))
+
+
 def upserted(current: DataFrame, batch: DataFrame) -> DataFrame:
     """The next documents. A record replaces the one with its kind, number and year where the hash differs (but for
-    kinds known by hash only); others are added unless their hash is known. Of several in a batch the last (seq) counts.
+    kinds known by hash only); others are added unless their hash is known. Of several in a batch the last (seq, which numbers
+    the batch's rows) counts. Which records count is found on thin rows and kept; whole rows are then met with it once.
 
     Columns of both: hash_md5, tipo, numero, anio, contenido, paginas, pdf_local, ...; batch has seq too."""
     good = with_defaults(batch).filter(reject_reason().isNull())
-    identity = ["tipo", "numero", "anio"]
-    named = ~F.col("tipo").isin(*BY_HASH_ONLY) & F.col("numero").isNotNull() & F.col("anio").isNotNull()
-    replacing = latest_by(good.filter(named), identity, [F.col("seq").desc()])
-    keys = current.filter(named).select(*identity)
+    plan = kept(upsert_plan(current, good), "upsert-plan")
     columns = [c for c in current.columns if c != "id"]
-    changed = replacing.join(keys, identity, "left_semi").select(*columns)
-    fresh = replacing.join(keys, identity, "left_anti").unionByName(good.filter(F.coalesce(~named, F.lit(True))))
-    fresh = latest_by(fresh.join(current.select("hash_md5"), "hash_md5", "left_anti"), ["hash_md5"], [F.col("seq")])
-    return current.join(changed.select(*identity), identity, "left_anti").select(*columns).unionByName(changed).unionByName(fresh.select(*columns))
+    stay = current.join(plan.filter("what = 'changed'").select("tipo", "numero", "anio"), ["tipo", "numero", "anio"], "left_anti")
+    return stay.select(*columns).unionByName(good.join(plan.select("seq"), "seq", "left_semi").select(*columns))
 
 
 def upsert_into(spark: SparkSession, path: str, batch: DataFrame) -> dict[str, int]:
@@ -62,14 +71,7 @@ def upsert_into(spark: SparkSession, path: str, batch: DataFrame) -> dict[str, i
     identity = ["tipo", "numero", "anio"]
     good = with_defaults(batch).filter(reject_reason().isNull())
     current = spark.read.parquet(path)
-    keys = current.filter(~F.col("tipo").isin(*BY_HASH_ONLY)).select(*identity).dropna()
-    named = ~F.col("tipo").isin(*BY_HASH_ONLY) & F.col("numero").isNotNull() & F.col("anio").isNotNull()
-    ids = good.select("seq", "hash_md5", *identity)
-    last = latest_by(ids.filter(named), identity, [F.col("seq").desc()])
-    changed = last.join(keys, identity, "left_semi").withColumn("what", F.lit("changed"))
-    fresh = last.join(keys, identity, "left_anti").unionByName(ids.filter(F.coalesce(~named, F.lit(True))))
-    fresh = latest_by(fresh.join(current.select("hash_md5"), "hash_md5", "left_anti"), ["hash_md5"], [F.col("seq")]).withColumn("what", F.lit("new"))
-    plan = kept(changed.unionByName(fresh), "upsert-plan")
+    plan = kept(upsert_plan(current, good), "upsert-plan")
     counts = {r.what: r.n for r in plan.groupBy("what").agg(F.count(F.lit(1)).alias("n")).collect()}
     touched = plan.select("tipo", "anio").distinct()
     there = touched.collect()  # no more than the table has partitions
