@@ -12,8 +12,8 @@ from leafquarry.plans.domain import LAST_YEAR, Tables
 from leafquarry.plans.relational import q
 from leafquarry.plans.scalars import cases
 from leafquarry.sources import external, html_index
-from leafquarry.sources.tables import ensure_columns
-from leafquarry.streaming.incremental import classify_new, latest_progress
+from leafquarry.sources.tables import ensure_columns, shared_folder
+from leafquarry.streaming.incremental import classify_new, latest_progress, start_ingest
 
 c = F.col
 
@@ -107,6 +107,29 @@ q("w02_outcomes", """, k AS (SELECT * FROM docs WHERE id % 3 < 2), b AS (SELECT
      WHEN hash_md5 IN (SELECT hash_md5 FROM k) THEN 'hash' WHEN id <> min(id) OVER (PARTITION BY hash_md5) THEN 'repetido' ELSE 'nuevo' END AS outcome FROM b""")(
     lambda t: classify_new(t.docs.filter("id % 3 > 0").withColumn("seq", c("id")), t.docs.filter("id % 3 < 2")).select("id", "outcome")
 )
+LANDED = "seq bigint, hash_md5 string, tipo string, numero string, anio int, url_sii string"
+
+
+def streamed(t: Tables):
+    """The outcomes of all documents, landed in three parts between which the ingest stream runs."""
+    root = shared_folder(t.spark, "ingest")
+    for part in range(3):
+        rows = t.docs.filter(c("id") % 3 == part).select(c("id").alias("seq"), "hash_md5", "tipo", "numero", "anio", "url_sii")
+        rows.write.json(f"{root}/landing/{part}")
+        run = start_ingest(t.spark, f"{root}/landing/*", LANDED, f"{root}/docs", f"{root}/checkpoint", f"{root}/log", name=root)
+        run.awaitTermination()
+    return t.spark.read.parquet(f"{root}/log").select(c("seq").alias("id"), "outcome")
+
+
+def _landing_sql(part: int, known: str) -> str:
+    return f"""b{part} AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM {known} k WHERE k.tipo = d.tipo AND k.numero = d.numero AND k.anio = d.anio) THEN 'identidad' WHEN url_sii IN (SELECT url_sii FROM {known}) THEN 'url'
+     WHEN hash_md5 IN (SELECT hash_md5 FROM {known}) THEN 'hash' WHEN id <> min(id) OVER (PARTITION BY hash_md5) THEN 'repetido' ELSE 'nuevo' END AS outcome FROM d WHERE id % 3 = {part}),
+   k{part + 1} AS (SELECT tipo, numero, anio, url_sii, hash_md5 FROM {known} UNION ALL SELECT tipo, numero, anio, url_sii, hash_md5 FROM b{part} WHERE outcome = 'nuevo')"""
+
+
+q("w02_stream", f""", d AS (SELECT id, hash_md5, tipo, numero, anio, url_sii FROM docs), k0 AS (SELECT tipo, numero, anio, url_sii, hash_md5 FROM docs WHERE false),
+   {_landing_sql(0, 'k0')}, {_landing_sql(1, 'k1')}, {_landing_sql(2, 'k2')}
+   SELECT id, outcome FROM b0 UNION ALL SELECT id, outcome FROM b1 UNION ALL SELECT id, outcome FROM b2""")(streamed)
 q("w05_messages", "SELECT event_id AS seq, CASE WHEN estado = 'error_bd' THEN 'WARN' ELSE 'OK' END AS level FROM scraper_log ORDER BY event_id DESC LIMIT 300")(
     lambda t: latest_progress(t.scraper_log.select(c("event_id").alias("seq"), c("estado").alias("message"))).select("seq", "level")
 )
