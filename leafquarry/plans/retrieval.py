@@ -66,8 +66,9 @@ def _files(t: Tables) -> tuple:
 
 
 def stored(t: Tables) -> SegmentedIndex:
-    """The index of these files, which the first question of an application builds."""
-    return _INDEXES.get(_files(t)) or built(t)
+    """The index of these files, which the first question of an application builds; again if its folder was cleared meanwhile."""
+    index = _INDEXES.get(_files(t))
+    return index if index is not None and index.open().segments else built(t)
 
 
 c = F.col
