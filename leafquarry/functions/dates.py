@@ -31,6 +31,7 @@ def found(text: Column, pattern: str | Column, group: int) -> Column:
 def text_date(text: Column) -> Column:
     """"5 de marzo de 2020" among the first 2000 characters, else an ISO date among the first 1000."""
     names = "|".join(m for m in MONTHS if m != "setiembre")
+    # fixed values: the patterns of dates in texts
     pattern = rf"(?iU)(\d{{1,2}})\s+de\s+({names})\s+de\s+(\d{{4}})"
     start = F.substring(text, 1, 2000)
     long = F.concat_ws("-", found(start, pattern, 3), month(found(start, pattern, 2)), padded(found(start, pattern, 1)))
@@ -43,6 +44,7 @@ def new_year(year: Column) -> Column:
 
 def circular_date(text: Column, year: Column) -> Column:
     """"1 de setiembre del 2019"; the year's first day where there is none or its month is unknown."""
+    # fixed value: the pattern of dates in circulars' titles
     t, pattern = collapse(text), r"(?i)(\d{1,2})\s+de\s+([a-zA-Z]+)\s+del?\s+(\d{4})"
     parts = F.concat(found(t, pattern, 3), F.lit("-"), month(found(t, pattern, 2)), F.lit("-"), padded(found(t, pattern, 1)))
     return F.coalesce(parts, new_year(year))
@@ -57,6 +59,7 @@ def api_date(text: Column, year: Column) -> Column:
 
 def office_date(text: Column, number: Column) -> Column:
     """a date beside the office's number among the first 3000 characters, by three patterns; then beside any number."""
+    # fixed values: the patterns of offices' numbers and dates
     start, day = F.substring(F.coalesce(text, F.lit("")), 1, 3000), r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
     own = F.concat(F.lit(r"\Q"), F.trim(number), F.lit(r"\E"))
     patterns = [F.concat(F.lit("(?i)" + head + r"N[°ºo]?\s*"), own, F.lit(r"\s*,?\s*DE\s*" + day)) for head in (r"ORD\.\s*", r"OFICIO\s+ORDINARIO\s*", "")]

@@ -182,12 +182,16 @@ def article_blob(c: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(lead), explicit, plain), lambda x: x != ""))
 
 
+# How a circular's number stands in titles and addresses.
+CIRCULAR_NUMBERS = (r"(?i)circular\s*n(?:\D{0,2})\s*0*(\d+)", r"(?i)circu(?:lar)?0*(\d+)\.(?:pdf|htm|html)")
+
+
 def circular_number(title: Column, href: Column) -> Column:
     """From the title, else from the address; null without one."""
     tries = [
         F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), p, 1), F.lit(""))
         for c in (title, href)
-        for p in (r"(?i)circular\s*n(?:\D{0,2})\s*0*(\d+)", r"(?i)circu(?:lar)?0*(\d+)\.(?:pdf|htm|html)")
+        for p in CIRCULAR_NUMBERS
     ]
     return F.coalesce(*tries)
 

@@ -18,6 +18,7 @@ def file_keys(name: Column) -> Column:
     def part(pattern: str, n: int) -> Column:
         return F.regexp_extract(name, pattern, n)
 
+    # fixed values: how stored files are named
     modern, old, court = r"(?i)^(circular|oficio|resolucion)_(\d{4})_(.+)\.pdf$", r"(?i)^circular_historica_(\d{4})_(.+?)(?:_(scan|html))?\.pdf$", r"(?i)^judicial_(\d{4})_.+_id(\d+)\.pdf$"
     stem = part(old, 2)
     number = F.coalesce(F.nullif(F.regexp_extract(stem, r"(?i)circu(.+)$", 1), F.lit("")), stem)

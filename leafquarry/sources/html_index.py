@@ -9,6 +9,7 @@ from leafquarry.functions import dates, refs
 from leafquarry.functions.text import collapse, unescaped
 
 LINK = r"""(?is)<a\b[^>]*href=["']?([^"'\s>]+)[^>]*>(.*?)</a\s*>"""
+# Fixed value: the endings of images.
 IMAGE = r"(?i)\.(?:gif|jpe?g|png|tiff?|bmp)$"
 
 
