@@ -43,3 +43,37 @@ def test_blanks(spark):
         text.lines_joined(x).eqNullSafe(plain).alias("lines"),
     )
     assert all(all(r) for r in got.collect())
+
+
+def test_evidence(docs):
+    frame = docs.select(text.evidence(F.col("contenido")).alias("x"))
+    assert steps(frame, "split") == 1  # paragraphs were cut and tidied twice
+
+
+def test_page_lines(spark):
+    html = "<title>Circular N° 5</title><p>Uno</p> \t\n<p>Uno</p><p>CIRCULAR Circular N 5</p>Dos &amp; tres"
+    frame = spark.createDataFrame([(html,)], "html string").select(text.html_body(F.col("html"), text.html_title(F.col("html")), F.lit("")).alias("x"))
+    assert frame.first().x == "Uno\nCIRCULAR Circular N 5\nDos & tres"
+    assert frame._jdf.queryExecution().analyzed().toString().count("Home |") == 1  # a page's lines were made and judged twice
+
+
+def test_tokens(spark):
+    from leafquarry.functions import refs
+
+    x = F.col("x")
+    rows = [("Nº° 12ab Ñandú_güe  áéíó,ú abcd №№№№ ÁRBOL efgh",), (None,), ("",), (" abc__abcd ",)]
+    plain = F.slice(F.filter(F.split(text.folded(x), "_"), lambda t: F.length(t) >= 4), 1, 5)
+    frame = spark.createDataFrame(rows, "x string").select(refs.title_tokens(x).alias("got"), plain.alias("wanted"))
+    assert all(r.got == r.wanted for r in frame.collect())
+    assert steps(frame.select("got"), "split") <= 1
+
+
+def test_references_once(spark):
+    from leafquarry.operators import resolver
+
+    docs = spark.createDataFrame([(1, "El artículo 31 de la LIR; art. 2 del CT"), (1, "El artículo 31 de la LIR"), (2, "nada"), (3, None)], "id int, t string")
+    rows = resolver.index_rows(docs.select("id", resolver.references(F.col("t")).alias("refs"), F.array(F.lit("LIR"), F.lit("CI"), F.lit("")).alias("laws")), "id", "laws", "refs")
+    got = sorted((r.doc_id, r.ley, r.articulo or "") for r in rows.collect())
+    assert got == [(1, "CI", ""), (1, "CI", ""), (1, "CT", "2"), (1, "LIR", "31"), (2, "CI", ""), (2, "LIR", ""), (3, "CI", ""), (3, "LIR", "")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[;:]") == 1  # texts were cut, and their references found, for each of four uses
