@@ -28,3 +28,16 @@ def test_scan(spark, docs, monkeypatch):
     assert plan.lower().count("translate(") == 2 and plan.lower().count("regexp") <= 4
     monkeypatch.undo()
     assert got == rows(rt.Stored(rt.postings(docs, ["x", "y"]), rt.lengths(docs, ["x", "y"])).scores(PHRASES))
+
+
+def test_stored(spark, docs):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    counting = docs.select("id", counted.asNondeterministic()("x").alias("x"))
+    rt.Stored(rt.postings(counting, ["x"]), rt.lengths(counting, ["x"])).scores(PHRASES).collect()
+    assert seen.value == 2 * 5
